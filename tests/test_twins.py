@@ -1,0 +1,24 @@
+"""Every query with a SQL twin returns what DuckDB returns on the same files."""
+
+import pytest
+from compare import database, differences
+
+from __spark_entry__ import entry, oracle_sql, queries
+
+
+@pytest.fixture(scope="module")
+def con(small):
+    return database(small)
+
+
+def test_every_twin_has_a_query():
+    assert set(oracle_sql()) <= set(queries())
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_twin(spark, small, con, name):
+    assert differences(queries()[name](spark, small), con, oracle_sql()[name]) == []
+
+
+def test_entry_has_rows(spark):
+    assert entry(spark).count() > 0
