@@ -19,7 +19,22 @@ def latest(df: DataFrame, ts: str) -> Column:
 
 def n_distinct(name: str) -> Column:
     """Distinct values, where null counts as one value."""
-    return F.count_distinct(F.col(name)) + F.max(F.col(name).isNull().cast("int"))
+    return F.count_distinct(F.col(name)) + has_null(name)
+
+
+def distinct_counts(df: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """(key, names...): distinct non-null values of several columns per key.
+
+    Kept apart from other aggregates: Spark shuffles one row per distinct
+    (key, value) here, and in one aggregation with sums and counts each of these
+    rows would carry all of their buffers.
+    """
+    return df.groupBy(key).agg(*[F.count_distinct(c).alias(n) for c, n in columns.items()])
+
+
+def has_null(name: str) -> Column:
+    """1 when a group has a null in the column, which counts as one more value."""
+    return F.max(F.col(name).isNull().cast("int"))
 
 
 def mean(name: str) -> Column:

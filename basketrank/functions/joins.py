@@ -24,15 +24,19 @@ def lookup(
     row_bytes: int = 128,
     limit_bytes: int | None = None,
     spread: str | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``dim``, which holds at most one row per ``key``.
 
     ``dim`` is broadcast when its rows, taken at ``row_bytes`` each, stay below
-    the limit. Otherwise both sides are shuffled with the heavy keys split
+    the limit; ``fits`` passes on the answer when it is known already.
+    Otherwise both sides are shuffled with the heavy keys split
     (:func:`salted_join`), so one key with a large share of ``fact`` does not
-    end in one task.
+    end in one task. Sides that are costly to compute should be staged.
     """
-    if fits_broadcast(dim, row_bytes, limit_bytes):
+    if fits is None:
+        fits = fits_broadcast(dim, row_bytes, limit_bytes)
+    if fits:
         return fact.join(F.broadcast(dim), key, how)
     return salted_join(fact, dim, key, how, spread)
 
@@ -68,3 +72,24 @@ def salted_join(
         .drop("_ways")
     )
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def add_by_pair(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left join on (customer_id, item_id), which must be unique on both sides.
+
+    Done as one grouping of the united rows. A ``left`` that is partitioned by
+    customer, as all candidate tables are, stays where it is and keeps that
+    partitioning for the steps that follow; a join on both columns would move
+    it. ``right`` should be the smaller side.
+    """
+    keys = ["customer_id", "item_id"]
+    rows = left.withColumn("_left", F.lit(1)).unionByName(
+        right.repartition("customer_id").withColumn("_left", F.lit(0)), allowMissingColumns=True
+    )
+    values = [c for c in rows.columns if c not in (*keys, "_left")]
+    return (
+        rows.groupBy(*keys)
+        .agg(F.max("_left").alias("_left"), *[F.max(c).alias(c) for c in values])
+        .filter("_left = 1")
+        .drop("_left")
+    )

@@ -29,9 +29,16 @@ def dense_index(
     """Number all rows in ``order`` without bringing them into one task.
 
     Rows are range-partitioned and sorted, every partition numbers its own rows,
-    and the numbered table is staged so that both following reads see the same
-    partitions. The offsets table has one row per partition.
+    and the numbered table is staged so that all reads see the same partitions.
+    The driver adds up one count per partition; the index is then a projection.
     """
+    return dense_index_sized(df, order, name, start)[0]
+
+
+def dense_index_sized(
+    df: DataFrame, order: list[Column], name: str = "idx", start: int = 0
+) -> tuple[DataFrame, int]:
+    """:func:`dense_index` together with the number of rows."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     numbered = stage(
@@ -42,19 +49,19 @@ def dense_index(
     )
     # The upper bits of the generated id are the partition, the lower 33 the row in it.
     numbered = numbered.withColumns(
-        {"_part": F.shiftright("_row", 33), "_row": F.col("_row").bitwiseAND((1 << 33) - 1)}
-    )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        numbered.groupBy("_part")
-        .agg(F.count("*").alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
-    return (
-        numbered.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_offset") + F.col("_row") + F.lit(start))
-        .drop("_part", "_row", "_offset")
+        {"_part": F.shiftright("_row", 33).cast("int"), "_row": F.col("_row").bitwiseAND((1 << 33) - 1)}
     )
+    sizes = {r["_part"]: r["count"] for r in numbered.groupBy("_part").count().collect()}
+    offsets, total = [], 0
+    for part in range(parts):
+        offsets.append(total)
+        total += sizes.get(part, 0)
+    # One constant array in the plan, folded from its text.
+    table = F.split(F.lit(",".join(map(str, offsets))), ",").cast("array<bigint>")
+    indexed = numbered.withColumn(
+        name, F.get(table, F.col("_part")) + F.col("_row") + F.lit(start)
+    ).drop("_part", "_row")
+    return indexed, total
 
 
 def seeded_hash(keys: list[str], seed: int) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from basketrank.config import CandidateLimits
+from basketrank.functions.joins import fits_broadcast
 from basketrank.functions.ordering import renumber, top_n
-from basketrank.functions.staging import stage
 from basketrank.operators.covisit import covisit_candidates
 from basketrank.operators.embedding import vector_candidates
 from basketrank.operators.history import history_candidates
@@ -24,7 +24,8 @@ def merge_candidates(
 ) -> DataFrame:
     """One row per (customer_id, item_id) with source flags, scores and position.
 
-    An item keeps the place of the first source that names it.
+    An item keeps the place of the first source that names it. The sources are
+    partitioned by customer, and so is the result, without another shuffle.
     """
     columns = ("customer_id", "item_id", "pos")
     tables = [history.select(*columns, F.lit(0.0).alias("score"))]
@@ -67,12 +68,14 @@ def generate_candidates(
     dropped, and "already bought" means the cut and filtered history.
     """
 
+    fits = None if active is None else fits_broadcast(active, row_bytes=64)
+
     def on_sale(df: DataFrame) -> DataFrame:
-        return df if active is None else only_items(df, active)
+        return df if active is None else only_items(df, active, fits)
 
+    # Used by all three sources, which share its shuffle.
     history = history_candidates(of_customers(transactions, customers), limits.history)
-    # Read by all three sources.
-    history = stage(renumber(on_sale(history), "customer_id"), "history")
+    history = renumber(on_sale(history), "customer_id")
     covisit = on_sale(covisit_candidates(history, neighbours, limits.covisit))
     near = None
     if vectors is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from basketrank.config import CandidateLimits
 from basketrank.functions.expressions import n_distinct
-from basketrank.functions.joins import lookup
+from basketrank.functions.joins import fits_broadcast, lookup
 from basketrank.functions.ordering import top_n
 
 
@@ -80,33 +80,27 @@ def covisit_candidates(
 ) -> DataFrame:
     """(customer_id, item_id, score, pos): neighbours of the history, scores added up.
 
-    Items of the history itself are left out. They take part in the same
-    grouping with a mark instead of an anti join, which saves a shuffle.
+    Items of the history itself are left out: each history row also yields its
+    own item without a score, and items with such a row are dropped, so no anti
+    join is needed. ``history`` partitioned by customer stays in place: the
+    neighbour lists come to it, and neither the sum nor the ranking shuffles.
     """
     # One short list per item, so the history meets a table with unique keys.
     lists = neighbours.groupBy("item_id").agg(
         F.collect_list(F.struct("co_item_id", "score")).alias("near")
     )
-    reached = (
-        lookup(
-            history.select("customer_id", "item_id"), lists, "item_id", "inner",
-            row_bytes=4096, limit_bytes=limit_bytes, spread="customer_id",
-        )
-        .select("customer_id", F.explode("near").alias("e"))
-        .select(
-            "customer_id",
-            F.col("e.co_item_id").alias("item_id"),
-            F.col("e.score").alias("score"),
-            F.lit(0).alias("owned"),
-        )
-    )
-    owned = history.select(
-        "customer_id", "item_id", F.lit(0).cast("bigint").alias("score"), F.lit(1).alias("owned")
+    found = lookup(
+        history.select("customer_id", "item_id"), lists, "item_id", "left",
+        spread="customer_id", fits=fits_broadcast(neighbours, 64, limit_bytes),
     )
+    own = F.array(F.struct(F.col("item_id").alias("co_item_id"), F.lit(None).alias("score")))
     scored = (
-        reached.unionByName(owned)
-        .groupBy("customer_id", "item_id")
-        .agg(F.sum("score").alias("score"), F.max("owned").alias("owned"))
+        found.select(
+            "customer_id",
+            F.explode(F.concat(own, F.coalesce("near", F.array()))).alias("e"),
+        )
+        .groupBy("customer_id", F.col("e.co_item_id").alias("item_id"))
+        .agg(F.sum("e.score").alias("score"), F.count_if(F.col("e.score").isNull()).alias("owned"))
         .filter("owned = 0")
         .drop("owned")
     )

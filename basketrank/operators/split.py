@@ -127,6 +127,6 @@ def active_items(items: DataFrame) -> DataFrame:
     return items.filter(F.col("sale_status") == 1).select("item_id").distinct()
 
 
-def only_items(df: DataFrame, items: DataFrame) -> DataFrame:
+def only_items(df: DataFrame, items: DataFrame, fits: bool | None = None) -> DataFrame:
     """Rows whose item is in the given (distinct) list."""
-    return lookup(df, items, "item_id", "left_semi", row_bytes=64, spread="customer_id")
+    return lookup(df, items, "item_id", "left_semi", row_bytes=64, spread="customer_id", fits=fits)

@@ -64,8 +64,7 @@ def _customer_vectors(by: str):
 def _nearest(by: str):
     def run(spark, folder):
         case = Case(spark, folder, by)
-        history = stage(case.history(), "history")
-        return tidy(embedding.vector_candidates(history, case.vectors))
+        return tidy(embedding.vector_candidates(case.history(), case.vectors))
 
     return run
 
@@ -73,8 +72,9 @@ def _nearest(by: str):
 def _merge(spark, folder):
     """A list of 40 per customer, so that the total limit takes effect."""
     case = Case(spark, folder)
-    history = stage(case.history(), "history")
-    bought_together = covisit.covisit_candidates(history, case.neighbours())
+    history = case.history()
+    near = stage(case.neighbours(), "neighbours")
+    bought_together = covisit.covisit_candidates(history, near)
     return tidy(merge_candidates(history, only_items(bought_together, case.active), total=40))
 
 

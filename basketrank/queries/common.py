@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from basketrank.functions.ordering import renumber
+from basketrank.functions.staging import stage
 from basketrank.operators import split
 from basketrank.operators.candidates import generate_candidates
 from basketrank.operators.covisit import covisit_candidates, covisit_neighbours
@@ -39,7 +40,7 @@ class Case:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return star.item_vectors(self.spark, self.folder, self.by)
+        return stage(star.item_vectors(self.spark, self.folder, self.by), "vectors")
 
     def part(self, name: str) -> DataFrame:
         return split.take(self.tx, "updated_date", (name,))
@@ -58,7 +59,7 @@ class Case:
 
     @cached_property
     def val_customers(self) -> DataFrame:
-        return split.customers_of(self.val)
+        return stage(split.customers_of(self.val), "customers")
 
     @cached_property
     def known_customers(self) -> DataFrame:
@@ -73,11 +74,15 @@ class Case:
         return covisit_neighbours(self.train)
 
     def covisit(self) -> DataFrame:
-        return covisit_candidates(self.history(), self.neighbours())
+        return covisit_candidates(self.history(), stage(self.neighbours(), "neighbours"))
 
     def candidates(self) -> DataFrame:
         return generate_candidates(
-            self.train, self.val_customers, self.neighbours(), self.vectors, self.active
+            self.train,
+            self.val_customers,
+            stage(self.neighbours(), "neighbours"),
+            self.vectors,
+            self.active,
         )
 
 

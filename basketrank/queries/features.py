@@ -26,7 +26,7 @@ def _item_features(by: str):
 
 def _cross(spark, folder):
     case = Case(spark, folder)
-    return tidy(cross_features(case.candidates(), case.train))
+    return tidy(cross_features(case.candidates(), case.train, case.val_customers))
 
 
 def labelled_matrix(case: Case):
@@ -36,13 +36,14 @@ def labelled_matrix(case: Case):
         user_features(case.train),
         item_features(case.train, case.items),
         case.val,
+        customers=case.val_customers,
     )
 
 
 def _labels(distinct: bool):
     def run(spark, folder):
         case = Case(spark, folder)
-        rows = cross_features(case.candidates(), case.train)
+        rows = cross_features(case.candidates(), case.train, case.val_customers)
         return matrix.label_candidates(rows, case.val, distinct).select(
             "customer_id", "item_id", "label"
         )
@@ -51,7 +52,7 @@ def _labels(distinct: bool):
 
 
 def labelled_pairs(case: Case):
-    rows = cross_features(case.candidates(), case.train)
+    rows = cross_features(case.candidates(), case.train, case.val_customers)
     return stage(matrix.label_candidates(rows, case.val), "labelled")
 
 

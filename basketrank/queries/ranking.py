@@ -30,7 +30,7 @@ def _ranking(spark, folder):
 
 
 def scored_candidates(case: Case) -> DataFrame:
-    rows = cross_features(case.candidates(), case.train)
+    rows = cross_features(case.candidates(), case.train, case.val_customers)
     return rows.withColumn("score", F.col("ui_covisit_score") + F.col("ui_history_count"))
 
 
