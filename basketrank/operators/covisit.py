@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from basketrank.config import CandidateLimits
 from basketrank.functions.expressions import n_distinct
-from basketrank.functions.joins import fits_broadcast, lookup
-from basketrank.functions.ordering import top_n
+from basketrank.functions.joins import BROADCAST_BYTES, fits_broadcast, lookup
+from basketrank.functions.ordering import dense_index_sized, top_n
 
 
 def bill_items(
@@ -81,27 +81,41 @@ def covisit_candidates(
     """(customer_id, item_id, score, pos): neighbours of the history, scores added up.
 
     Items of the history itself are left out: each history row also yields its
-    own item without a score, and items with such a row are dropped, so no anti
+    own code without a score, and codes with such a row are dropped, so no anti
     join is needed. ``history`` partitioned by customer stays in place: the
     neighbour lists come to it, and neither the sum nor the ranking shuffles.
+    The sum, the largest step, runs on integer item codes in item order.
+    ``neighbours`` is read several times: stage it.
     """
+    limit = BROADCAST_BYTES if limit_bytes is None else limit_bytes
+    named = neighbours.select("item_id").union(neighbours.select("co_item_id")).distinct()
+    codes, n_codes = dense_index_sized(named, [F.col("item_id")], "code")
+    codes = codes.withColumn("code", F.col("code").cast("int"))
+    few_codes = n_codes * 128 <= limit
     # One short list per item, so the history meets a table with unique keys.
-    lists = neighbours.groupBy("item_id").agg(
-        F.collect_list(F.struct("co_item_id", "score")).alias("near")
+    near = lookup(
+        neighbours.select("item_id", "co_item_id", "score"),
+        codes.withColumnRenamed("item_id", "co_item_id"),
+        "co_item_id", "inner", fits=few_codes, spread="item_id",
     )
+    lists = (
+        near.groupBy("item_id")
+        .agg(F.collect_list(F.struct("code", "score")).alias("near"))
+        .join(codes.withColumnRenamed("code", "own"), "item_id")
+    )
+    # Items without neighbours are nobody's neighbour either.
     found = lookup(
-        history.select("customer_id", "item_id"), lists, "item_id", "left",
-        spread="customer_id", fits=fits_broadcast(neighbours, 64, limit_bytes),
+        history.select("customer_id", "item_id"), lists, "item_id", "inner",
+        spread="customer_id", fits=fits_broadcast(neighbours, 32, limit_bytes),
     )
-    own = F.array(F.struct(F.col("item_id").alias("co_item_id"), F.lit(None).alias("score")))
+    own = F.array(F.struct(F.col("own").alias("code"), F.lit(None).alias("score")))
     scored = (
-        found.select(
-            "customer_id",
-            F.explode(F.concat(own, F.coalesce("near", F.array()))).alias("e"),
-        )
-        .groupBy("customer_id", F.col("e.co_item_id").alias("item_id"))
+        found.select("customer_id", F.explode(F.concat(own, "near")).alias("e"))
+        .groupBy("customer_id", F.col("e.code").alias("code"))
         .agg(F.sum("e.score").alias("score"), F.count_if(F.col("e.score").isNull()).alias("owned"))
         .filter("owned = 0")
-        .drop("owned")
     )
-    return top_n(scored, "customer_id", [F.col("score").desc(), F.col("item_id")], n)
+    best = top_n(scored, "customer_id", [F.col("score").desc(), F.col("code")], n)
+    return lookup(best, codes, "code", "inner", fits=few_codes, spread="customer_id").select(
+        "customer_id", "item_id", "score", "pos"
+    )

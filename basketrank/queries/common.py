@@ -63,7 +63,7 @@ class Case:
 
     @cached_property
     def known_customers(self) -> DataFrame:
-        return split.known_customers(self.val, self.train)
+        return stage(split.known_customers(self.val, self.train), "known")
 
     def history(self) -> DataFrame:
         """Cut and filtered history of the validation customers."""

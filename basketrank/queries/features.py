@@ -34,7 +34,7 @@ def labelled_matrix(case: Case):
         case.candidates(),
         case.train,
         user_features(case.train),
-        item_features(case.train, case.items),
+        stage(item_features(case.train, case.items), "items"),
         case.val,
         customers=case.val_customers,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketrank.functions.ordering import hash_take
-from basketrank.functions.staging import new_path
+from basketrank.functions.staging import new_path, stage
 from basketrank.models.popularity import PopularityModel
 from basketrank.operators import interactions as inter
 from basketrank.operators import profile, split
@@ -69,7 +69,7 @@ def _history_window_sql() -> str:
 
 
 def _popular_lists(case: Case, customers):
-    pairs = inter.interactions(case.train)
+    pairs = stage(inter.interactions(case.train), "interactions")
     return PopularityModel.fit(pairs).recommend(customers, 10, pairs)
 
 
