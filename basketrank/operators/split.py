@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketrank import config
 from basketrank.functions.expressions import any_of, n_distinct
-from basketrank.functions.joins import lookup
+from basketrank.functions.joins import fits_broadcast, lookup
 from basketrank.sources.tables import MONTH_FOLDERS
 
 TRAIN, VAL, TEST = "train", "val", "test"
@@ -117,6 +117,19 @@ def of_customers(df: DataFrame, customers: DataFrame) -> DataFrame:
     return lookup(df, customers, "customer_id", "left_semi", row_bytes=16)
 
 
+def narrowed(df: DataFrame, customers: DataFrame, few: bool) -> DataFrame:
+    """Drop rows of other customers before a shuffle, when the list can be broadcast.
+
+    For tables that a later join reduces to these customers anyway: with a long
+    list the filter would cost a shuffle of its own and is left out.
+    """
+    return df.join(F.broadcast(customers), "customer_id", "left_semi") if few else df
+
+
+def few_customers(customers: DataFrame | None, limit_bytes: int | None = None) -> bool:
+    return customers is not None and fits_broadcast(customers, 16, limit_bytes)
+
+
 def known_customers(target: DataFrame, history: DataFrame) -> DataFrame:
     """Customers of ``target`` that also occur in ``history``."""
     return customers_of(target).join(customers_of(history), "customer_id", "left_semi")

@@ -14,7 +14,8 @@ from basketrank.operators.covisit import covisit_candidates, covisit_neighbours
 from basketrank.operators.history import history_candidates
 from basketrank.sources import star
 
-DIGITS = 6
+# Six decimal places.
+SCALE = 1e6
 COSINES = ("score", "w2v_score", "ui_w2v_score")
 
 
@@ -87,21 +88,26 @@ class Case:
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, doubles rounded; adding 0.0 removes negative zeros.
+    """Decimals as doubles, and doubles rounded in a way both engines share.
 
-    Cosines are left alone: the operator has rounded them already.
+    round() treats halves differently in the two, floor() does not. Cosines are
+    left alone: the operator has rounded them already.
     """
     out = []
     for field in df.schema:
         column = F.col(f"`{field.name}`")
         if field.name not in COSINES and isinstance(field.dataType, (T.DecimalType, T.FloatType, T.DoubleType)):
-            column = (F.round(column.cast("double"), DIGITS) + 0.0).alias(field.name)
+            column = (F.floor(column.cast("double") * SCALE + 0.5) / SCALE).alias(field.name)
         out.append(column)
     return df.select(*out)
 
 
+def round_sql(expr: str, name: str) -> str:
+    return f"floor(CAST({expr} AS DOUBLE) * {SCALE} + 0.5) / {SCALE} + 0.0 AS {name}"
+
+
 def rounded(*names: str) -> str:
-    return ", ".join(f"round(CAST({n} AS DOUBLE), {DIGITS}) + 0.0 AS {n}" for n in names)
+    return ", ".join(round_sql(n, n) for n in names)
 
 
 _ITEM = {"group": "concat(p_brand, '|', p_type)", "part": "CAST(p_partkey AS VARCHAR)"}

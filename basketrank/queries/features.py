@@ -9,7 +9,15 @@ from basketrank.operators import matrix
 from basketrank.operators.cross_features import cross_features, user_item_stats
 from basketrank.operators.item_features import CATEGORIES, item_features, label_encode
 from basketrank.operators.user_features import category_breadth, user_features
-from basketrank.queries.common import Case, base, rounded, sql, tidy, with_all_candidates
+from basketrank.queries.common import (
+    Case,
+    base,
+    round_sql,
+    rounded,
+    sql,
+    tidy,
+    with_all_candidates,
+)
 
 
 def _user_features(spark, folder):
@@ -213,7 +221,7 @@ SQL = {
     ),
     "feature_matrix": sql(
         f"""SELECT * REPLACE ({rounded(*_CROSS_DOUBLES, *_USER_DOUBLES, *_ITEM_DOUBLES)}),
-            round(i_avg_price / (u_avg_price + 0.000001), 6) + 0.0 AS ui_price_ratio
+            {round_sql("i_avg_price / (u_avg_price + 0.000001)", "ui_price_ratio")}
         FROM (SELECT l.*, u.* EXCLUDE (customer_id), i.* EXCLUDE (item_id) REPLACE ({_FILLED})
               FROM labelled l LEFT JOIN user_feats u ON l.customer_id = u.customer_id
               LEFT JOIN item_feats i ON l.item_id = i.item_id)""",

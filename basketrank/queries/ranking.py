@@ -11,7 +11,7 @@ from basketrank.operators import matrix
 from basketrank.operators.cross_features import cross_features
 from basketrank.operators.interactions import interactions
 from basketrank.operators.split import customers_of
-from basketrank.queries.common import Case, base, sql, tidy
+from basketrank.queries.common import Case, base, round_sql, sql, tidy
 from basketrank.queries.features import _CROSSED
 from basketrank.queries.tables import POPULAR_SQL
 
@@ -143,17 +143,13 @@ m AS (
     FROM terms)"""
 
 
-def _r(expr: str, name: str) -> str:
-    return f"round({expr}, 6) AS {name}"
-
-
 def _top_k(k: int, precision: str = "precision") -> str:
     return ", ".join(
         [
-            _r("recall", f"recall_top{k}"),
-            _r(precision, f"precision_top{k}"),
-            _r("ndcg", f"ndcg_top{k}"),
-            _r("hit_rate", f"hit_rate_top{k}"),
+            round_sql("recall", f"recall_top{k}"),
+            round_sql(precision, f"precision_top{k}"),
+            round_sql("ndcg", f"ndcg_top{k}"),
+            round_sql("hit_rate", f"hit_rate_top{k}"),
             "n_users_predicted",
             "n_users_in_gt",
         ]
@@ -163,10 +159,10 @@ def _top_k(k: int, precision: str = "precision") -> str:
 _LIST = ", ".join(
     [
         "total_correct AS total_correct_recommendations",
-        _r("list_precision", "precision_at_10"),
-        _r("map", "map"),
-        _r("iou", "iou"),
-        _r("rr", "reciprocal_rank_first_hit"),
+        round_sql("list_precision", "precision_at_10"),
+        round_sql("map", "map"),
+        round_sql("iou", "iou"),
+        round_sql("rr", "reciprocal_rank_first_hit"),
     ]
 )
 
@@ -185,7 +181,7 @@ SQL = {
     "popularity_topk": sql(_POPULAR, base(), POPULAR_SQL),
     "popularity_topk_part": sql(_POPULAR, base("part"), POPULAR_SQL),
     "rank_topk": sql(
-        """SELECT customer_id, item_id, round(score, 6) AS score,
+        """SELECT customer_id, item_id, score,
             CAST(row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, item_id)
                  AS INTEGER) AS pos
         FROM (SELECT *, ui_covisit_score + ui_history_count AS score FROM crossed)

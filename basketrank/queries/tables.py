@@ -10,7 +10,7 @@ from basketrank.models.popularity import PopularityModel
 from basketrank.operators import interactions as inter
 from basketrank.operators import profile, split
 from basketrank.operators.evaluate import truth_lists
-from basketrank.queries.common import Case, base, rounded, sql, tidy
+from basketrank.queries.common import Case, base, round_sql, rounded, sql, tidy
 from basketrank.sources import sinks
 
 _TX = "customer_id, item_id, bill_id, quantity, price, discount, updated_date"
@@ -159,7 +159,10 @@ QUERIES = {
     "known_target_users": lambda spark, folder: Case(spark, folder).known_customers,
     "first_n_users": lambda spark, folder: _first_customers(Case(spark, folder)),
     "sample_users": lambda spark, folder: hash_take(
-        split.customers_of(Case(spark, folder).train), ["customer_id"], 500, seed=7
+        stage(split.customers_of(Case(spark, folder).train), "everyone"),
+        ["customer_id"],
+        500,
+        seed=7,
     ),
     "interactions": lambda spark, folder: tidy(inter.interactions(Case(spark, folder).train)),
     "interactions_with_events": lambda spark, folder: tidy(
@@ -193,7 +196,7 @@ def _stats_sql(where: str = "true") -> str:
     return sql(
         f"""SELECT split, count(*) AS n_rows, count(DISTINCT customer_id) AS n_customers,
             count(DISTINCT item_id) AS n_items,
-            round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
+            {round_sql("count(*) * 100.0 / sum(count(*)) OVER ()", "pct")}
         FROM (SELECT *, {_SPLIT_CASE.format(ts=_TS)} FROM tx WHERE {where}) GROUP BY split"""
     )
 
@@ -266,7 +269,7 @@ SQL = {
         GROUP BY customer_id, item_id"""
     ),
     "interaction_density": sql(
-        """SELECT *, round(100.0 * nnz / (n_customers * n_items), 6) AS density_pct FROM (
+        f"""SELECT *, {round_sql("100.0 * nnz / (n_customers * n_items)", "density_pct")} FROM (
             SELECT count(DISTINCT customer_id) AS n_customers,
                    count(DISTINCT item_id) AS n_items, count(*) AS nnz
             FROM (SELECT DISTINCT customer_id, item_id FROM train))"""
