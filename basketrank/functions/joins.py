@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from basketrank.functions.staging import stage
+
 # Upper bound of what a join may broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -41,33 +43,46 @@ def lookup(
     return salted_join(fact, dim, key, how, spread)
 
 
+def heavy_keys(fact: DataFrame, key: str) -> DataFrame:
+    """(key, ways): keys with more rows than one task's share, and their shares.
+
+    With P shuffle partitions a key counts as heavy from 1/P of the rows on, so
+    there are at most P of them. They are counted once and go into the plan as a
+    local table, so that joins in a row do not repeat each other's plans.
+    """
+    spark = fact.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = stage(fact.groupBy(key).agg(F.count("*").alias("_rows")), "key-counts")
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    found = (
+        counts.filter(F.col(key).isNotNull() & (F.col("_rows") * parts > total))
+        .select(key, F.ceil(F.col("_rows") * parts / F.lit(max(total, 1))).cast("int").alias("_ways"))
+    )
+    return spark.createDataFrame(found.collect(), found.schema)
+
+
 def salted_join(
     fact: DataFrame, dim: DataFrame, key: str, how: str = "left", spread: str | None = None
 ) -> DataFrame:
-    """Shuffle join that splits every key holding more than one task's share.
+    """Shuffle join that splits every heavy key of ``fact``.
 
-    With P shuffle partitions a key counts as heavy from 1/P of the rows on, so
-    there are at most P heavy keys and their list is safe to broadcast. A key
-    with s shares of the rows is split s ways: its ``fact`` rows scatter by a
-    hash, its single ``dim`` row is repeated s times, 2P rows at the very most.
-    Null keys match nothing and are scattered over all partitions.
+    A key with s shares of the rows is split s ways: its ``fact`` rows scatter by
+    a hash, its single ``dim`` row is repeated s times, 2P rows at the very most.
+    Null keys match nothing and are scattered over all partitions. ``fact`` is
+    read once more for the counts.
     """
     parts = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = fact.groupBy(key).agg(F.count("*").alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    heavy = counts.filter(F.col(key).isNotNull() & (F.col("_rows") * parts > total)).select(
-        key, F.ceil(F.col("_rows") * parts / total).cast("int").alias("_ways")
-    )
+    heavy = F.broadcast(heavy_keys(fact, key))
     ways = F.coalesce(F.col("_ways"), F.lit(1))
-    scatter = F.xxhash64(F.col(spread)) if spread else F.xxhash64(*[c for c in fact.columns])
+    scatter = F.xxhash64(spread) if spread else F.xxhash64(*fact.columns)
     slots = F.when(F.col(key).isNull(), F.lit(parts)).otherwise(ways)
     left = (
-        fact.join(F.broadcast(heavy), key, "left")
+        fact.join(heavy, key, "left")
         .withColumn("_salt", F.pmod(scatter, slots).cast("int"))
         .drop("_ways")
     )
     right = (
-        dim.join(F.broadcast(heavy), key, "left")
+        dim.join(heavy, key, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), ways - 1)))
         .drop("_ways")
     )
