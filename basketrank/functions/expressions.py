@@ -13,8 +13,9 @@ def whole_days(later: Column, earlier: Column) -> Column:
 
 
 def latest(df: DataFrame, ts: str) -> Column:
-    """The last timestamp of a table, as a scalar subquery."""
-    return df.agg(F.max(ts)).scalar()
+    """The last timestamp of a table, read once and usable in any plan as a constant."""
+    last = df.agg(F.max(ts).cast("string")).first()[0]
+    return F.lit(last).cast(df.schema[ts].dataType)
 
 
 def n_distinct(name: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basketrank.functions.expressions import latest
 from basketrank.functions.staging import stage
 from basketrank.operators import matrix
 from basketrank.operators.cross_features import cross_features, user_item_stats
@@ -38,13 +39,15 @@ def _cross(spark, folder):
 
 
 def labelled_matrix(case: Case):
+    ref = latest(case.train, "updated_date")
     return matrix.feature_matrix(
         case.candidates(),
         case.train,
-        user_features(case.train),
-        stage(item_features(case.train, case.items), "items"),
+        user_features(case.train, ref=ref),
+        stage(item_features(case.train, case.items, ref=ref), "items"),
         case.val,
         customers=case.val_customers,
+        ref=ref,
     )
 
 
