@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from basketrank.functions.expressions import latest
 from basketrank.functions.staging import stage
 from basketrank.operators import matrix
