@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketrank.llm import exact_dedup
+from basketrank.llm import decontaminate, exact_dedup
 from basketrank.llm.common import table
 from basketrank.llm.twins import SQL
 
@@ -15,6 +15,13 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_decontaminate": op9_decontaminate,
 }

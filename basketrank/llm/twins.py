@@ -10,4 +10,39 @@ SQL = {
                text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op9_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark
+        ), wins AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS k,
+                   array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS win
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s
+                  FROM b WHERE len(w) > 0)
+        ), cut AS (
+            SELECT doc_id, s, k, array_to_string(w[s : s + k - 1], ' ') AS win
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s
+                  FROM d, (SELECT DISTINCT k FROM wins) WHERE len(w) >= k)
+        ), hits AS (
+            SELECT doc_id, s, cut.k, item_id FROM cut JOIN wins USING (win, k)
+        ), words AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT doc_id, s, k FROM hits))
+            GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
 }
