@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketrank.llm import decontaminate, exact_dedup
+from basketrank.llm import bpe, decontaminate, exact_dedup
 from basketrank.llm.common import table
 from basketrank.llm.twins import SQL
 
 __all__ = ["QUERIES", "SQL"]
 
 
+#: Vocabulary of the byte-level BPE, a name in the installed collection.
+TOKENIZER = "byte_bpe_50k.json"
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"))
 
 
+def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER)
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -23,5 +31,6 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_bpe": op6_bpe,
     "op9_decontaminate": op9_decontaminate,
 }
