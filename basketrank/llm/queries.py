@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketrank.llm import bpe, decontaminate, exact_dedup
+from basketrank.llm import bpe, decontaminate, exact_dedup, language, line_dedup, secret_scan
 from basketrank.llm.common import table
 from basketrank.llm.twins import SQL
 
@@ -19,18 +19,43 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"))
 
 
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, folder, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
     )
 
 
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    spans = secret_scan.find_secrets(table(spark, folder, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    joined = lambda c: F.array_join(
+        F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    return spans.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(joined(of(*secret_scan.BASE)).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_language": op5_language,
     "op6_bpe": op6_bpe,
+    "op7_line_dedup": op7_line_dedup,
     "op9_decontaminate": op9_decontaminate,
+    "op10_secrets": op10_secrets,
 }

@@ -45,4 +45,25 @@ SQL = {
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op7_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ord
+            FROM documents
+        ), k AS (
+            SELECT *, translate(
+                regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM l
+        ), often AS (
+            SELECT key, max(doc_id) AS best FROM k WHERE length(key) >= 40
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ), m AS (
+            SELECT doc_id, ord, line, best IS NOT NULL AND best <> doc_id AS gone
+            FROM k LEFT JOIN often USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY ord) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
 }
