@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketrank.llm import bpe, decontaminate, exact_dedup, language, line_dedup, secret_scan
+from basketrank.llm import bpe, decontaminate, exact_dedup, language, line_dedup, secret_scan, warc
 from basketrank.llm.common import table
 from basketrank.llm.twins import SQL
 
@@ -31,6 +31,10 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"))
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, folder, "pages"))
+
+
 def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
     "op7_line_dedup": op7_line_dedup,
+    "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }

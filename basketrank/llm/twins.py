@@ -66,4 +66,21 @@ SQL = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY ord) FILTER (NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
+    "op8_warc": r"""
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+        ), d AS (
+            SELECT page_id, payload_bytes, array_to_string(flatten(list_transform(range(0, 8), lambda i:
+                list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    ((('0x' || substr(h, (i * 5 + 1)::INTEGER, 5))::INTEGER >> s) & 31) + 1, 1)))), '')
+                AS payload_digest
+            FROM p
+        ), b AS (
+            SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM d
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> best THEN best END AS refers_to
+        FROM b
+    """,
 }
