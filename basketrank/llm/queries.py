@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketrank.llm import bpe, decontaminate, exact_dedup, language, line_dedup, secret_scan, toxicity, warc
+from basketrank.llm import bpe, decontaminate, exact_dedup, language, line_dedup, ngram_join, secret_scan, toxicity, warc
 from basketrank.llm.common import table
 from basketrank.llm.twins import SQL
 
@@ -15,6 +15,10 @@ __all__ = ["QUERIES", "SQL"]
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similarity_components(table(spark, folder, "documents"), words=4, percent=85)
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -60,6 +64,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language": op5_language,

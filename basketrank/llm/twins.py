@@ -83,4 +83,30 @@ SQL = {
                CASE WHEN page_id <> best THEN best END AS refers_to
         FROM b
     """,
+    "op1_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[p : p + 3], ' ') AS t
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), links AS (
+            SELECT a, b FROM (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y USING (t)
+                WHERE x.doc_id <> y.doc_id GROUP BY ALL)
+            JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+            WHERE 100 * i >= 85 * (na.n + nb.n - i)
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM d
+            UNION
+            SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM d LEFT JOIN n USING (doc_id)
+        JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+    """,
 }
