@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketrank.llm import bpe, decontaminate, exact_dedup, language, line_dedup, ngram_join, secret_scan, toxicity, warc
+from basketrank.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    language,
+    line_dedup,
+    ngram_join,
+    secret_scan,
+    toxicity,
+    warc,
+    wrappers,
+)
 from basketrank.llm.common import table
 from basketrank.llm.twins import SQL
 
@@ -23,6 +34,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(table(spark, folder, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, folder, "documents"))
 
@@ -66,6 +81,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_language": op5_language,
     "op6_bpe": op6_bpe,
