@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from basketrank.llm.common import named
 
+#: A vocabulary of the installed collection.
+TOKENIZER = "byte_bpe_50k.json"
 #: Pieces whose ids a worker keeps.
 CACHE = 400_000
 #: Pieces longer than this are not kept.

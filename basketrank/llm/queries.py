@@ -22,10 +22,6 @@ from basketrank.llm.twins import SQL
 __all__ = ["QUERIES", "SQL"]
 
 
-#: Vocabulary of the byte-level BPE, a name in the installed collection.
-TOKENIZER = "byte_bpe_50k.json"
-
-
 def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similarity_components(table(spark, folder, "documents"), words=4, percent=85)
 
@@ -47,7 +43,7 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.round_trip(table(spark, folder, "documents"), TOKENIZER)
+    return bpe.round_trip(table(spark, folder, "documents"), bpe.TOKENIZER)
 
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
