@@ -82,9 +82,9 @@ def label_of(tag: str, attrs: str) -> str:
 
 
 def parse(page: str) -> list:
-    """The root element of a page, labelled ``#``."""
-    root = ["#", []]
-    stack, tags = [root], ["#"]
+    """The root element of a page, labelled ``/``."""
+    root = ["/", []]
+    stack, tags = [root], ["/"]
     at, labels = 0, {}
 
     def text(end: int) -> None:

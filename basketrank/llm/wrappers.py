@@ -18,7 +18,7 @@ A page is read by walking it along its host's wrapper. The wrapper names the
 region of the article: ``article`` elements, else ``main`` or content elements, else the
 element down to which most slot text lies. Inside, furniture (menus, forms,
 adverts, comments and the like) is left out, and in regions without such a
-label also texts that are constant over the host and blocks of links.
+label also blocks whose texts are constant over the host and blocks of links.
 
 Defined results: null or empty pages, and pages without main text, have an empty
 text; null addresses share one host; null and repeated ids stay as they are, row
@@ -204,6 +204,11 @@ def regions(wrapper: list) -> tuple[bool, list[tuple[int, ...]]]:
         path, item = (*path, at), child
 
 
+def _slots(item: list) -> bool:
+    """Whether any text below differs between pages."""
+    return item[TEXT] is None if item[LABEL] == "#" else any(map(_slots, item[ITEMS]))
+
+
 def _link_block(item: list) -> bool:
     return item[CHARS] > 0 and 2 * item[LINKS] > item[CHARS]
 
@@ -250,8 +255,7 @@ class Reader:
                 at = found
             known = None if found is None else items[found]
             if label == "#":
-                constant = known is not None and known[TEXT] is not None and not self.labelled and known[KIND] == "1"
-                if inside and not (constant and self.has_slots):
+                if inside:
                     self.open += child
                 continue
             tag = label.split("!")[0]
@@ -261,9 +265,11 @@ class Reader:
             if _furniture(label, within and self.labelled):
                 self._end()
                 continue
-            if within and not self.labelled and known is not None and tag not in INLINE and _link_block(known):
-                self._end()
-                continue
+            if within and not self.labelled and known is not None and tag not in INLINE:
+                fixed = self.has_slots and known[KIND] != "+" and known[CHARS] and not _slots(known)
+                if fixed or _link_block(known):
+                    self._end()
+                    continue
             inline = tag in INLINE
             if not inline:
                 self._end()
