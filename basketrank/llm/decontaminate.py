@@ -28,8 +28,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from basketrank.functions.joins import fits_broadcast
 from basketrank.functions.staging import stage
-from basketrank.llm.common import lower_ascii, named
+from basketrank.llm.common import fresh, lower_ascii, named
 
 #: Consecutive words of a window.
 SIZE = 10
@@ -62,12 +63,11 @@ def windows(
 def filed_windows(wins: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(token, off, win, items): each window under its rarest word in ``docs``, staged."""
     vocabulary = wins.select(F.explode("win").alias("token")).distinct()
-    counts = (
-        docs.select(F.explode(words_of(named(text_col))).alias("token"))
-        .join(vocabulary, "token", "left_semi")
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    words = docs.select(F.explode(words_of(named(text_col))).alias("token"))
+    if fits_broadcast(vocabulary, row_bytes=128):
+        words = words.join(F.broadcast(vocabulary), "token", "left_semi")
+    # A vocabulary too long to broadcast meets the counts, not the words.
+    counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     places = wins.select("win", "items", F.posexplode("win").alias("off", "token"))
     first = Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "token", "off")
     return stage(
@@ -203,11 +203,12 @@ def drop_contaminated(
     **columns,
 ) -> DataFrame:
     """``docs`` without the rows that hold a window, all columns kept."""
+    own, key = fresh(docs, "_id", "_key")
     hit = (
         occurrences(docs, benchmark, size, id_col, text_col, **columns)
         .filter("start IS NOT NULL")
-        .select("_id", "_key")
+        .select(F.col("_id").alias(own), F.col("_key").alias(key))
         .distinct()
     )
-    same = named(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(named(text_col)) == F.col("_key"))
+    same = named(id_col).eqNullSafe(named(own)) & (F.xxhash64(named(text_col)) == named(key))
     return docs.join(hit, same, "left_anti")
