@@ -37,14 +37,17 @@ PRICE_RATIO_OFFSET = 1e-6
 
 @dataclass(frozen=True)
 class CandidateLimits:
-    """How many items each candidate source may add per customer."""
+    """How many items each candidate source may add per customer.
 
-    history: int = 200
+    None lifts the limits ``history``, ``total`` and ``items_per_bill``.
+    """
+
+    history: int | None = 200
     covisit: int = 300
     vectors: int = 200
-    total: int = 1200
+    total: int | None = 1200
     neighbours_per_item: int = 50
-    items_per_bill: int = 20
+    items_per_bill: int | None = 20
     recent_items: int = 20
     decay: float = 0.9
 
@@ -56,6 +59,9 @@ class AlsParams:
     regularization: float = 0.01
     alpha: float = 40.0
     seed: int = 42
+    # Blocks of customers and of items; 0 derives them from the number of rows.
+    user_blocks: int = 0
+    item_blocks: int = 0
 
 
 @dataclass(frozen=True)
@@ -64,9 +70,13 @@ class EmbeddingParams:
     window: int = 5
     min_count: int = 3
     epochs: int = 10
-    # Purchases per training sentence; longer histories become several.
+    # Purchases per training sentence; longer histories become several, each
+    # beginning with the last ``window`` purchases of the one before.
     sentence_length: int = 10_000
-    partitions: int = 8
+    # Tasks of the fit; 0 takes one for every ``lines_per_task`` purchases, at
+    # most the cluster's cores.
+    partitions: int = 0
+    lines_per_task: int = 1_000_000
     seed: int = 42
 
 
@@ -80,4 +90,5 @@ class RankerParams:
     seed: int = 42
     train_users: int = 100_000
     negatives_per_positive: int = 20
-    eval_users: int = 20_000
+    # Customers to evaluate on; 0 takes all.
+    eval_users: int = 0

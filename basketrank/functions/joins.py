@@ -11,10 +11,12 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int | None = None) -> bool:
-    """Whether ``df`` has few enough rows; counting stops just beyond the bound."""
+    """Whether ``df`` has few enough rows.
+
+    Every task counts its own rows, so none of them travel.
+    """
     limit = BROADCAST_BYTES if limit_bytes is None else limit_bytes
-    most = limit // row_bytes
-    return df.limit(most + 1).count() <= most
+    return df.count() <= limit // row_bytes
 
 
 def lookup(
@@ -69,8 +71,9 @@ def salted_join(
     A key with s shares of the rows is split s ways: its ``fact`` rows scatter by
     a hash, its single ``dim`` row is repeated s times, 2P rows at the very most.
     Null keys match nothing and are scattered over all partitions. ``fact`` is
-    read once more for the counts.
+    staged, so that the counts and the join do not compute it twice.
     """
+    fact = stage(fact, "fact")
     parts = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     heavy = F.broadcast(heavy_keys(fact, key))
     ways = F.coalesce(F.col("_ways"), F.lit(1))

@@ -7,14 +7,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from basketrank.functions.staging import stage
 
 
-def top_n(df: DataFrame, group: str, order: list[Column], n: int, pos: str = "pos") -> DataFrame:
-    """The first ``n`` rows of each group in ``order``, numbered from 1.
+def top_n(
+    df: DataFrame, group: str, order: list[Column], n: int | None, pos: str = "pos"
+) -> DataFrame:
+    """The first ``n`` rows of each group in ``order``, numbered from 1; None keeps all.
 
     Spark cuts every map partition to ``n`` rows per group before the shuffle
     (WindowGroupLimit), so a large group does not travel whole.
     """
     window = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn(pos, F.row_number().over(window)).filter(F.col(pos) <= n)
+    ranked = df.withColumn(pos, F.row_number().over(window))
+    return ranked if n is None else ranked.filter(F.col(pos) <= n)
 
 
 def renumber(df: DataFrame, group: str, pos: str = "pos") -> DataFrame:

@@ -49,8 +49,35 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The file system that ``path`` lies on, and the path as it knows it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder; nothing happens when there is none."""
+    store, place = _hadoop(spark, path)
+    store.delete(place, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none when it does not exist."""
+    store, place = _hadoop(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+
+
+def publish(spark: SparkSession, source: str, target: str) -> None:
+    """Put a finished folder in the place of another one."""
+    store, place = _hadoop(spark, source)
+    _, goal = _hadoop(spark, target)
+    store.delete(goal, True)
+    store.mkdirs(goal.getParent())
+    if not store.rename(place, goal):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application staged; call it once its results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, _run_folder(spark))

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketrank.functions.joins import BROADCAST_BYTES, fits_broadcast
+from basketrank.functions.joins import fits_broadcast
 from basketrank.functions.ordering import top_n
 from basketrank.functions.staging import stage
 
@@ -97,7 +97,7 @@ def top_k_by_dot(
     seen: DataFrame | None = None,
     *,
     dims: int,
-    limit_bytes: int = BROADCAST_BYTES,
+    limit_bytes: int | None = None,
     customers_per_block: int = CUSTOMERS_PER_BLOCK,
     items_per_block: int = ITEMS_PER_BLOCK,
 ) -> DataFrame:
@@ -108,7 +108,7 @@ def top_k_by_dot(
     Ties go to the smaller item. Only the best ``k`` per customer and block
     leave the Python workers. The result has a 1-based ``pos``.
 
-    A catalogue below ``limit_bytes`` is broadcast and customers are not
+    A catalogue below ``limit_bytes`` (default: the bound of all joins) is broadcast and customers are not
     shuffled for the product. A larger one is cut into blocks and each
     (customer block, item block) pair meets in one bounded task.
     """

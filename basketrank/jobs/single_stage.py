@@ -58,8 +58,9 @@ def train(
         events = split.take(tables.events, "event_date", (split.TRAIN,), event_rule)
     history = split.take(tables.transactions, _TS, (split.TRAIN,), rule)
     # Kept next to the model: prediction leaves out the same pairs.
-    interactions(history, events).write.mode("overwrite").parquet(out.model("interactions"))
-    pairs = spark.read.parquet(out.model("interactions"))
+    place = out.model(f"{model}_interactions")
+    interactions(history, events).write.mode("overwrite").parquet(place)
+    pairs = spark.read.parquet(place)
     fitted = AlsRecommender.fit(pairs, als) if model == "als" else PopularityModel.fit(pairs)
     fitted.save(out.model(model))
     if not evaluate_model:
@@ -85,7 +86,7 @@ def predict(
 ) -> DataFrame:
     """Write the lists of the target month's customers with a history; returns them."""
     fitted = MODELS[model].load(spark, out.model(model))
-    pairs = spark.read.parquet(out.model("interactions"))
+    pairs = spark.read.parquet(out.model(f"{model}_interactions"))
     wanted = split.target_rows(tables.transactions, target, _TS, rule)
     known = stage(split.known_customers(wanted, pairs), "customers")
     rows = fitted.recommend(known, k, _seen(pairs, tables, rule, exclude))
@@ -105,12 +106,17 @@ def main() -> None:
     args_parser.add_argument("--factors", type=int, default=AlsParams.factors)
     args_parser.add_argument("--iterations", type=int, default=AlsParams.iterations)
     args_parser.add_argument("--alpha", type=float, default=AlsParams.alpha)
+    args_parser.add_argument("--user-blocks", type=int, default=0, help="0: from the interactions")
+    args_parser.add_argument("--item-blocks", type=int, default=0, help="0: from the items")
     args_parser.add_argument("--no-eval", action="store_true")
     args = args_parser.parse_args()
     spark = session(f"basketrank-{args.step}")
     tables, out, rule = tables_of(spark, args), Places(args.out), rule_of(args)
     if args.step == "train":
-        als = AlsParams(factors=args.factors, iterations=args.iterations, alpha=args.alpha)
+        als = AlsParams(
+            factors=args.factors, iterations=args.iterations, alpha=args.alpha,
+            user_blocks=args.user_blocks, item_blocks=args.item_blocks,
+        )
         split.split_stats(tables.transactions, _TS, rule).show()
         metrics = train(
             spark, tables, out, args.model, args.use_events, args.top_k, als, rule,

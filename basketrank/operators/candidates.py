@@ -20,7 +20,7 @@ def merge_candidates(
     history: DataFrame,
     covisit: DataFrame,
     vectors: DataFrame | None = None,
-    total: int = CandidateLimits.total,
+    total: int | None = CandidateLimits.total,
 ) -> DataFrame:
     """One row per (customer_id, item_id) with source flags, scores and position.
 

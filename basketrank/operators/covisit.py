@@ -10,15 +10,20 @@ from basketrank.functions.joins import BROADCAST_BYTES, fits_broadcast, lookup
 from basketrank.functions.ordering import dense_index_sized, top_n
 
 
+# Items of one bill that are paired in one row when bills have no limit.
+BILL_BLOCK = 128
+
+
 def bill_items(
-    transactions: DataFrame, max_items: int = CandidateLimits.items_per_bill
+    transactions: DataFrame, max_items: int | None = CandidateLimits.items_per_bill
 ) -> DataFrame:
-    """Distinct (bill_id, item_id), the first ``max_items`` items of each bill.
+    """Distinct (bill_id, item_id), the first ``max_items`` items of each bill by name.
 
-    The limit is part of the definition: it bounds the pairs of one bill.
+    The limit is part of the definition: it bounds the pairs of one bill, and
+    items late in the alphabet lose pairs. None takes whole bills.
     """
     pairs = transactions.select("bill_id", "item_id").distinct()
-    return top_n(pairs, "bill_id", [F.col("item_id")], max_items)
+    return pairs if max_items is None else top_n(pairs, "bill_id", [F.col("item_id")], max_items)
 
 
 def bill_stats(bills: DataFrame) -> DataFrame:
@@ -29,29 +34,58 @@ def bill_stats(bills: DataFrame) -> DataFrame:
     )
 
 
-def pair_counts(bills: DataFrame) -> DataFrame:
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def pair_counts(bills: DataFrame, limited: bool = True, block: int = BILL_BLOCK) -> DataFrame:
     """(a, b, n) with a < b: the number of bills that hold both items.
 
-    A bill's items fit into one short array, on which pairs are formed without a
-    join. The array needs the same partitioning as the limit in ``bill_items``.
+    A ``limited`` bill's items fit into one short array, on which pairs are
+    formed without a join; the array needs the same partitioning as the limit in
+    ``bill_items``. Bills without a limit are cut into blocks of about ``block``
+    items, and every two blocks of a bill meet in a row of their own, so a long
+    bill spreads over many tasks.
     """
+    bills = bills.filter("bill_id IS NOT NULL AND item_id IS NOT NULL")
+    if not limited:
+        return _counted(_pairs_by_blocks(bills, block))
     arrays = (
-        bills.filter("bill_id IS NOT NULL AND item_id IS NOT NULL")
-        .groupBy("bill_id")
+        bills.groupBy("bill_id")
         .agg(F.array_sort(F.collect_list("item_id")).alias("items"))
         .filter(F.size("items") > 1)
     )
     firsts = arrays.select(F.posexplode("items").alias("at", "a"), "items")
     rest = F.slice("items", F.col("at") + 2, F.size("items"))
-    return (
-        firsts.select("a", F.explode(rest).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return _counted(firsts.select("a", F.explode(rest).alias("b")))
+
+
+def _pairs_by_blocks(bills: DataFrame, block: int) -> DataFrame:
+    """(a, b) with a < b, once for every bill that holds both."""
+    ways = bills.groupBy("bill_id").agg(F.ceil(F.count("*") / block).cast("int").alias("ways"))
+    placed = bills.join(ways, "bill_id").withColumn("own", F.pmod(F.xxhash64("item_id"), "ways").cast("int"))
+    blocks = placed.groupBy("bill_id", "ways", "own").agg(F.collect_list("item_id").alias("items"))
+    other = F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("other")
+    meeting = (
+        blocks.select("bill_id", "own", "items", other)
+        .groupBy("bill_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .agg(F.collect_list("items").alias("lists"))
+    )
+    first, second = F.col("lists")[0], F.get(F.col("lists"), F.lit(1))
+    pairs = meeting.filter("i = j OR size(lists) = 2").select(
+        F.explode(first).alias("x"), F.when(F.col("i") == F.col("j"), first).otherwise(second).alias("others"),
+        (F.col("i") == F.col("j")).alias("same"),
+    ).select("x", F.explode("others").alias("y"), "same")
+    # Inside one block every pair appears in both directions.
+    return pairs.filter("x < y OR (x > y AND NOT same)").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
     )
 
 
 def covisit_neighbours(
     transactions: DataFrame,
     per_item: int = CandidateLimits.neighbours_per_item,
-    max_bill: int = CandidateLimits.items_per_bill,
+    max_bill: int | None = CandidateLimits.items_per_bill,
 ) -> DataFrame:
     """(item_id, co_item_id, score, rn): the items most often on the same bills.
 
@@ -65,7 +99,7 @@ def covisit_neighbours(
         )
     )
     directed = (
-        pair_counts(bill_items(transactions, max_bill))
+        pair_counts(bill_items(transactions, max_bill), max_bill is not None)
         .select(both.alias("p"), F.col("n").alias("score"))
         .select("p.item_id", "p.co_item_id", "score")
     )

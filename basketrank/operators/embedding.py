@@ -13,23 +13,28 @@ from basketrank.functions.vectors import top_k_by_dot, unit, weighted_mean
 
 
 def purchase_sequences(
-    transactions: DataFrame, max_length: int = EmbeddingParams.sentence_length
+    transactions: DataFrame, max_length: int = EmbeddingParams.sentence_length, overlap: int = 0
 ) -> DataFrame:
     """(customer_id, chunk, items): purchases in time order, repeats kept.
 
     A history longer than ``max_length`` continues in further chunks, so no row
-    grows with the data. Positions come from one distributed ordering of all
+    grows with the data; each of them begins with the last ``overlap`` purchases of
+    the one before. Positions come from one distributed ordering of all
     lines; a customer with a large share of them is spread over many tasks.
     """
     keys = ["customer_id", "updated_date", "item_id", "bill_id"]
     lines = dense_index(transactions.select(*keys), [F.col(k) for k in keys], "at")
     first = lines.groupBy("customer_id").agg(F.min("at").alias("first_at"))
     placed = lookup(lines, first, "customer_id", "inner", row_bytes=32, spread="at")
+    # Chunks start every ``step`` purchases; within the overlap a purchase is in two.
+    step = max(1, max_length - overlap)
     pos = F.col("at") - F.col("first_at")
+    last = F.floor(pos / step).cast("int")
+    both = (pos % step < max_length - step) & (last > 0)
     return (
         placed.select(
             "customer_id",
-            F.floor(pos / max_length).cast("int").alias("chunk"),
+            F.explode(F.when(both, F.array(last - 1, last)).otherwise(F.array(last))).alias("chunk"),
             F.struct("at", "item_id").alias("step"),
         )
         .groupBy("customer_id", "chunk")
@@ -37,21 +42,33 @@ def purchase_sequences(
     )
 
 
+def fit_tasks(transactions: DataFrame, params: EmbeddingParams) -> int:
+    """Tasks of the fit. Each trains on its share, and their vectors are averaged."""
+    if params.partitions:
+        return params.partitions
+    cores = transactions.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(cores, -(-transactions.count() // params.lines_per_task)))
+
+
 def fit_item_vectors(
     transactions: DataFrame, params: EmbeddingParams = EmbeddingParams()
 ) -> Word2VecModel:
-    """Skip-gram vectors of items from the purchase sequences."""
+    """Skip-gram vectors of items from the purchase sequences.
+
+    The vocabulary and its two matrices are held by the driver and every task, a
+    limit of the library: items x dims x 8 bytes, about 1 GB for 2 million items.
+    """
     return Word2Vec(
         vectorSize=params.vector_size,
         windowSize=params.window,
         minCount=params.min_count,
         maxIter=params.epochs,
-        numPartitions=params.partitions,
+        numPartitions=fit_tasks(transactions, params),
         maxSentenceLength=params.sentence_length,
         seed=params.seed,
         inputCol="items",
         outputCol="vector",
-    ).fit(purchase_sequences(transactions, params.sentence_length))
+    ).fit(purchase_sequences(transactions, params.sentence_length, params.window))
 
 
 def vectors_of(model: Word2VecModel) -> DataFrame:

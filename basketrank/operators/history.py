@@ -9,7 +9,7 @@ from basketrank.functions.ordering import top_n
 
 
 def history_candidates(
-    transactions: DataFrame, max_items: int = CandidateLimits.history
+    transactions: DataFrame, max_items: int | None = CandidateLimits.history
 ) -> DataFrame:
     """(customer_id, item_id, last_date, pos), at most ``max_items`` per customer."""
     recency = transactions.groupBy("customer_id", "item_id").agg(

@@ -73,10 +73,12 @@ def take(
 
 def with_part(df: DataFrame, ts: str, rule: SplitRule = SplitRule()) -> DataFrame:
     """All rows that belong to a part, labelled in a ``split`` column, in one pass."""
-    label = F.when(in_part(df, ts, TRAIN, rule), TRAIN)
-    for part in (VAL, TEST):
-        label = label.when(in_part(df, ts, part, rule), part)
-    return df.withColumn("split", label).filter(F.col("split").isNotNull())
+    parts = (TRAIN, VAL, TEST)
+    label = F.lit(None).cast("string")
+    for part in reversed(parts):
+        label = F.when(in_part(df, ts, part, rule), part).otherwise(label)
+    # The filter names the dates themselves, so that it reaches the scan.
+    return take(df, ts, parts, rule).withColumn("split", label)
 
 
 def split_stats(df: DataFrame, ts: str, rule: SplitRule = SplitRule()) -> DataFrame:
@@ -102,6 +104,24 @@ def history_for(
     return take(df, ts, HISTORY_OF[target], rule)
 
 
+def by_target(df: DataFrame, ts: str = "updated_date", rule: SplitRule = SplitRule()) -> DataFrame:
+    """All rows once per prediction target and role ("history" or "target") they play, in one pass."""
+    roles = {
+        part: [
+            F.struct(F.lit(target).alias("target"), F.lit(role).alias("role"))
+            for target in HISTORY_OF
+            for role, known in (("history", HISTORY_OF[target]), ("target", (TARGET_OF[target],)))
+            if part in known
+        ]
+        for part in (TRAIN, VAL, TEST)
+    }
+    played = None
+    for part, found in roles.items():
+        mine = F.when(F.col("split") == part, F.array(*found))
+        played = mine if played is None else F.coalesce(played, mine)
+    return with_part(df, ts, rule).withColumn("as", F.explode(played)).select(*df.columns, "split", "as.*")
+
+
 def target_rows(
     df: DataFrame, target: str, ts: str = "updated_date", rule: SplitRule = SplitRule()
 ) -> DataFrame:

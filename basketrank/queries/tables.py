@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basketrank.functions.expressions import n_distinct
 from basketrank.functions.ordering import hash_take
 from basketrank.functions.staging import new_path, stage
 from basketrank.models.popularity import PopularityModel
@@ -38,20 +39,15 @@ def _split_events(spark, folder):
 
 def _history_window(spark, folder):
     """Rows and customers of history and target, for every prediction target."""
-    tx = Case(spark, folder).tx
-    out = None
-    for target in split.HISTORY_OF:
-        for role, rows in (
-            ("history", split.history_for(tx, target)),
-            ("target", split.target_rows(tx, target)),
-        ):
-            part = rows.agg(
-                F.count("*").alias("n_rows"),
-                F.count_distinct("customer_id").alias("n_customers"),
-                F.sum("quantity").alias("quantity"),
-            ).select(F.lit(target).alias("target"), F.lit(role).alias("role"), "*")
-            out = part if out is None else out.unionByName(part)
-    return out
+    return (
+        split.by_target(Case(spark, folder).tx)
+        .groupBy("target", "role")
+        .agg(
+            F.count("*").alias("n_rows"),
+            n_distinct("customer_id").alias("n_customers"),
+            F.sum("quantity").alias("quantity"),
+        )
+    )
 
 
 def _history_window_sql() -> str:

@@ -38,8 +38,8 @@ def out(tmp_path_factory):
     return Places(str(tmp_path_factory.mktemp("out")))
 
 
-def _seen_pairs(spark, out):
-    return spark.read.parquet(out.model("interactions")).select("customer_id", "item_id")
+def _seen_pairs(spark, out, model):
+    return spark.read.parquet(out.model(f"{model}_interactions")).select("customer_id", "item_id")
 
 
 @pytest.mark.parametrize("model", ["popularity", "als"])
@@ -57,14 +57,14 @@ def test_single_stage(spark, tables, out, model, use_events):
 
     rows = ranked_rows(read_lists(spark, out.predictions("predictions_test")))
     assert rows.count() == 10 * lists.count()
-    assert rows.join(_seen_pairs(spark, out), ["customer_id", "item_id"], "left_semi").count() == 0
+    assert rows.join(_seen_pairs(spark, out, model), ["customer_id", "item_id"], "left_semi").count() == 0
 
 
 def test_events_widen_what_is_excluded(spark, tables, out):
     single_stage.train(
         spark, tables, out, "popularity", True, event_year=2024, evaluate_model=False
     )
-    pairs = _seen_pairs(spark, out)
+    pairs = _seen_pairs(spark, out, "popularity")
     bought = single_stage._seen(pairs, tables, split.SplitRule(), "purchases")
     assert pairs.count() > bought.count()
 
@@ -122,6 +122,37 @@ def test_final_training_and_no_vectors(spark, tables, tmp_path):
     assert two_stage.train(spark, tables, place, settings, final=True) is None
     ranker = PairRanker.load(place.model("ranker"))
     assert "ui_w2v_score" in ranker.features
+    # Prediction falls back to two sources, with or without being told.
+    for wanted in (settings, SETTINGS):
+        two_stage.predict(spark, tables, place, "jan2026", wanted, max_customers=5)
+        assert read_lists(spark, place.predictions("predictions_two_stage_jan2026_5")).count() == 5
+
+
+def test_prediction_with_a_new_model_replaces_the_lists(spark, tables, tmp_path):
+    from dataclasses import replace
+
+    place = Places(str(tmp_path))
+    path = place.predictions("predictions_two_stage_val_20")
+    found = []
+    for settings in (SETTINGS, replace(SETTINGS, ranker=RankerParams(trees=1, max_depth=1, train_users=40, seed=7))):
+        two_stage.train(spark, tables, place, settings, bool(found), evaluate_model=False)
+        two_stage.predict(spark, tables, place, split.VAL, settings, max_customers=20)
+        lists = {r["customer_id"]: r["items"] for r in read_lists(spark, path).collect()}
+        assert len(lists) == 20
+        found.append(lists)
+    assert found[0] != found[1]
+
+
+def test_tasks_and_blocks_follow_the_rows(spark, small):
+    from basketrank.models import als
+    from basketrank.operators.embedding import fit_tasks
+
+    rows = spark.range(1000)
+    cores = spark.sparkContext.defaultParallelism
+    assert als.blocks_for(rows, 10) == 100
+    assert als.blocks_for(rows, 1000) == cores
+    assert fit_tasks(rows, EmbeddingParams(lines_per_task=400)) == min(cores, 3)
+    assert fit_tasks(rows, EmbeddingParams(partitions=5)) == 5
 
 
 def test_ranker_finds_a_planted_signal(spark):

@@ -188,30 +188,46 @@ def test_resumed_run_adds_only_what_is_missing(spark):
     path = new_path(spark, "resumable")
     customers = spark.range(40).select(F.col("id").cast("int").alias("customer_id"))
 
-    def predict(part):
+    def predict(part, bucket, item="x"):
         # Customers divisible by 5 have no predictions.
         return part.filter("customer_id % 5 <> 0").select(
-            "customer_id", F.lit("x").alias("item_id"), F.lit(1).alias("pos")
+            "customer_id", F.lit(item).alias("item_id"), F.lit(1).alias("pos")
         )
 
     calls = []
 
-    def breaks(part):
-        calls.append(1)
+    def breaks(part, bucket):
+        calls.append(bucket)
         if len(calls) == 3:
             raise RuntimeError("stopped")
-        return predict(part)
+        return predict(part, bucket)
+
+    def lists():
+        return {r["customer_id"]: r["items"] for r in sinks.read_lists(spark, path).collect()}
+
+    def want(item):
+        return {str(c): [] if c % 5 == 0 else [item] for c in range(40)}
 
     with pytest.raises(RuntimeError):
-        sinks.write_resumable(customers, breaks, path, buckets=4)
-    partly = {r["customer_id"] for r in sinks.finished_customers(spark, path).collect()}
+        sinks.write_resumable(customers, breaks, path, buckets=4, tag="a")
+    done = sinks.finished_customers(spark, sinks.partial_path(path, "a"))
+    partly = {r["customer_id"] for r in done.collect()}
     assert 0 < len(partly) < 40
-    sinks.write_resumable(customers, predict, path, buckets=4)
-    lists = {r["customer_id"]: r["items"] for r in sinks.read_lists(spark, path).collect()}
-    assert lists == {str(c): [] if c % 5 == 0 else ["x"] for c in range(40)}
-    assert sinks.read_lists(spark, path).count() == 40
-    sinks.write_resumable(customers, predict, path, resume=False)
-    assert sinks.read_lists(spark, path).count() == 40
+    # Only the customers that are missing are predicted again.
+    sinks.write_resumable(customers, lambda p, b: predict(p, b, "y"), path, buckets=4, tag="a")
+    mixed = lists()
+    assert {c for c, items in mixed.items() if items == ["x"]} == {str(c) for c in partly if c % 5}
+    assert len(mixed) == 40
+    # A run after a finished one predicts everybody again.
+    sinks.write_resumable(customers, lambda p, b: predict(p, b, "z"), path, buckets=4, tag="a")
+    assert lists() == want("z")
+    # What another model left unfinished is not used.
+    calls.clear()
+    with pytest.raises(RuntimeError):
+        sinks.write_resumable(customers, breaks, path, buckets=4, tag="a")
+    assert lists() == want("z")
+    sinks.write_resumable(customers, lambda p, b: predict(p, b, "w"), path, buckets=4, tag="b")
+    assert lists() == want("w")
 
 
 def test_no_query_pairs_everything(spark, small):
