@@ -10,7 +10,7 @@ says. Decoding joins the bytes of the ids and replaces invalid UTF-8.
 
 The tokenizer file is small and fixed; each Python worker reads it once from its
 own installation or from a file sent with the job. Ids of pieces are kept in a
-cache that is emptied when it reaches a bound, which changes no result.
+cache of bounded size, which changes no result.
 
 Defined results: a null text counts as empty, an empty text has no ids; null and
 repeated ids and other columns stay as they are; an empty table gives an empty
@@ -32,8 +32,8 @@ from basketrank.llm.common import named
 
 #: A vocabulary of the installed collection.
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces whose ids a worker keeps.
-CACHE = 400_000
+#: Pieces whose ids a worker keeps in each of two generations.
+CACHE = 500_000
 #: Pieces longer than this are not kept.
 CACHED_LENGTH = 40
 
@@ -51,35 +51,23 @@ def byte_letters() -> dict[int, str]:
     return letters
 
 
-class PairTree:
-    """Minimum tree over the ranks of adjacent pairs; the root is the next merge."""
+#: Key of a place without a pair that merges; above all others.
+NONE = 1 << 62
 
-    NONE = 1 << 62
 
-    def __init__(self, keys: list[int]):
-        size = 1
-        while size < len(keys):
-            size *= 2
-        tree = [self.NONE] * size + keys + [self.NONE] * (size - len(keys))
-        for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        self.size, self.tree = size, tree
+def pair_tree(keys: list[int]) -> list[int]:
+    """Minimum tree over the keys of adjacent pairs: node i has children 2i and 2i + 1.
 
-    def root(self) -> int:
-        return self.tree[1]
-
-    def put(self, place: int, key: int) -> None:
-        tree, i = self.tree, place + self.size
-        tree[i] = key
-        while i > 1:
-            other = tree[i ^ 1]
-            if other < key:
-                key = other
-            i >>= 1
-            if tree[i] == key:
-                return
-            tree[i] = key
+    The root, at 1, is the lowest key; leaves start at half the length.
+    """
+    size = 1
+    while size < len(keys):
+        size *= 2
+    tree = [NONE] * size + keys + [NONE] * (size - len(keys))
+    for i in range(size - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
+    return tree
 
 
 class Codec:
@@ -106,7 +94,7 @@ class Codec:
             if self.special
             else None
         )
-        self.limit, self.cache = cache, {}
+        self.limit, self.cache, self.older = cache, {}, {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -117,36 +105,53 @@ class Codec:
         # A key holds the rank above the position, so the lowest is the leftmost.
         shift = n.bit_length()
         mask = (1 << shift) - 1
-        none = PairTree.NONE
-
-        def key(left: int, right: int, place: int) -> int:
-            found = merges.get(left << 32 | right)
-            return none if found is None else found[0] << shift | place
-
-        tree = PairTree([key(ids[i], ids[i + 1], i) for i in range(n - 1)])
+        keys = [NONE] * (n - 1)
+        for i in range(n - 1):
+            found = merges.get(ids[i] << 32 | ids[i + 1])
+            if found is not None:
+                keys[i] = found[0] << shift | i
+        tree = pair_tree(keys)
+        size = len(tree) >> 1
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        while (best := tree.root()) != none:
+        while (best := tree[1]) != NONE:
             i = best & mask
             j = after[i]
             ids[i] = merges[ids[i] << 32 | ids[j]][1]
             ids[j] = -1
             k = after[i] = after[j]
-            if j < n - 1:
-                tree.put(j, none)
             if k < n:
                 before[k] = i
-                tree.put(i, key(ids[i], ids[k], i))
-            else:
-                tree.put(i, none)
-            if (h := before[i]) >= 0:
-                tree.put(h, key(ids[h], ids[i], h))
+            # The pair that was merged, the one that began with its right symbol,
+            # and the one that ended with its left symbol.
+            for place, left, right in ((j, -1, -1), (i, i, k), (before[i], before[i], i)):
+                if place < 0 or place >= n - 1:
+                    continue
+                key = NONE
+                if left >= 0 and right < n:
+                    found = merges.get(ids[left] << 32 | ids[right])
+                    if found is not None:
+                        key = found[0] << shift | place
+                node = place + size
+                if tree[node] == key:
+                    continue
+                tree[node] = key
+                while node > 1:
+                    other = tree[node ^ 1]
+                    if other < key:
+                        key = other
+                    node >>= 1
+                    if tree[node] == key:
+                        break
+                    tree[node] = key
         return [x for x in ids if x >= 0]
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.merge(piece.encode()))
+        ids = self.older.get(piece) or tuple(self.merge(piece.encode()))
         if len(piece) <= CACHED_LENGTH:
             if len(self.cache) >= self.limit:
+                # What is not used again before the next change is forgotten.
+                self.older = dict(self.cache)
                 self.cache.clear()
             self.cache[piece] = ids
         return ids

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from basketrank.functions.joins import fits_broadcast
+from basketrank.functions.joins import fits_broadcast, lookup
 from basketrank.functions.staging import stage
 from basketrank.llm.common import fresh, lower_ascii, named
 
@@ -71,7 +71,7 @@ def filed_windows(wins: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     places = wins.select("win", "items", F.posexplode("win").alias("off", "token"))
     first = Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "token", "off")
     return stage(
-        places.join(counts, "token", "left")
+        lookup(places, stage(counts, "word-counts"), "token", row_bytes=64, spread="off")
         .withColumn("place", F.row_number().over(first))
         .filter("place = 1")
         .select("token", "off", "win", "items"),

@@ -5,8 +5,8 @@ from labelled rows. A document's own list is compared with each profile: every
 n-gram adds the distance between its two ranks, or the length of the profile
 where it is missing. The language with the smallest sum wins, ties by name.
 
-Profiles are fitted on at most ``SAMPLE`` rows per language, drawn by a hash of the
-id; their counts are combined in the map tasks and the model holds ``TOP``
+Profiles are fitted on about ``SAMPLE`` rows per language, drawn by a hash of the
+id with the share that the language's count asks for; their counts are combined in the map tasks and the model holds ``TOP``
 n-grams per language. Prediction counts the n-grams of whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as
@@ -26,10 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from basketrank.functions.joins import lookup
+from basketrank.functions.staging import stage
 from basketrank.llm.common import bucket_of, fresh, named
 
-#: Most labelled rows per language that profiles are fitted on.
+#: Labelled rows per language that profiles are fitted on, all when there are fewer.
 SAMPLE = 1000
+_DRAWS = 1 << 40
 #: Length of a profile and of a document's ranked list.
 TOP = 400
 #: Lengths of n-grams; words are padded with a blank on either side.
@@ -67,14 +70,11 @@ def learn_profiles(
     rows = docs.select(
         named(id_col).alias("_id"), named(lang_col).alias("_lang"), named(text_col).cast("string").alias("_text")
     ).filter("_id IS NOT NULL AND _lang IS NOT NULL AND _text IS NOT NULL")
-    drawn = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = (
-        rows.select("_id", "_lang")
-        .withColumn("_n", F.row_number().over(drawn))
-        .filter(F.col("_n") <= sample)
-        .select("_id", "_lang")
-        .distinct()
+    shares = stage(
+        rows.groupBy("_lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share")), "label-shares"
     )
+    draw = F.pmod(F.xxhash64("_id"), F.lit(_DRAWS)) < F.col("share") * _DRAWS
+    chosen = lookup(rows, shares, "_lang", "inner", row_bytes=64, spread="_id").filter(draw)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
@@ -94,8 +94,7 @@ def learn_profiles(
 
     ranked = Window.partitionBy("lang").orderBy(F.desc("n"), F.crc32(F.col("gram").cast("binary")), "gram")
     found = (
-        rows.join(F.broadcast(chosen), ["_id", "_lang"], "left_semi")
-        .select("_lang", "_text")
+        chosen.select("_lang", "_text")
         .mapInArrow(count, "lang string, gram string, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))

@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from basketrank.functions.joins import lookup
 from basketrank.functions.staging import stage
 from basketrank.llm.common import fresh, named
 
@@ -202,8 +203,9 @@ def lost_keys(
         .filter(F.col("n") >= min_docs)
         .select("key", "best")
     )
+    # A key of very many rows is joined map-side or split, and leaves no rows together.
     return (
-        found.join(often, "key")
+        lookup(found, stage(often, "often"), "key", "inner", row_bytes=96, spread="_print")
         .filter(~F.col("_id").eqNullSafe(F.col("best")))
         .groupBy("_id", "_print")
         .agg(F.collect_set("key").alias("keys"))

@@ -7,16 +7,19 @@ class and are joined once.
    that are frequent in it; the most frequent of all come last in the order of
    shingles, the others are ordered by hash.
 2. Prefix filter: similar sets share a shingle among the first ones of both, so a
-   second pass writes (shingle, class) for those only. Shingles of one class drop
-   out; the classes that are left have their sets staged.
-3. Every class takes its widest open shingle as its bucket. A bucket is joined by
-   a signature tree (``signature_tree``) in units of bounded size. Shingles of
-   which all classes lay in one bucket are settled, as are those whose classes
-   are linked by now; the rest goes into another round, a last one with a bucket
-   for every shingle once few rows are left.
-4. A bucket above the bound is first joined in random blocks. In later rounds its
-   largest group of linked classes is cut into blocks that meet the other
-   classes, never each other, so a huge group of copies costs no square.
+   second pass writes (shingle, class) for those only, and shingles of one class
+   drop out.
+3. Signature trees (``signature_tree``) of hashed bitmaps sift what is left: only
+   classes with a possible partner under their shingle stay, and only their sets
+   are staged.
+4. Signature trees of exact bitmaps join the rest, in buckets cut into units of
+   bounded size. First every class goes to one bucket, that of its widest open
+   shingle. Shingles of which all classes lay in one bucket are settled, as are
+   those whose classes are linked by now; in the last round every open shingle
+   is a bucket.
+5. A bucket above the bound is not sifted. It is first joined in random blocks; in
+   later rounds its largest group of linked classes is cut into blocks that meet
+   the other classes, never each other, so a huge group of copies costs no square.
 
 Links become components by ``components``. Work that all pairs of a huge bucket
 need remains only where its texts share most shingles and yet are not linked.
@@ -30,18 +33,18 @@ the component of their class, null if no id is in it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from basketrank.functions.joins import lookup
 from basketrank.functions.staging import stage
 from basketrank.llm.common import fresh, named
 from basketrank.llm.components import smallest_reachable
-from basketrank.llm.signature_tree import needed, similar_pairs
+from basketrank.llm.signature_tree import needed, possible_pairs, signature, similar_pairs
 
 WORDS = 5
 PERCENT = 80
@@ -51,8 +54,10 @@ UNIT_TOKENS = 1 << 19
 FREQUENT = 1 << 17
 #: A shingle is frequent from this share of the rows on.
 FREQUENT_SHARE = 1 / 2000
-#: Rounds after which the last one is taken when fewer rows than this many per class are open.
-LAST_ROWS = 1.0
+#: Signatures are about a sixteenth of the sets.
+SIFT_TOKENS = 16 * UNIT_TOKENS
+#: Rounds before the last one, which takes all open shingles.
+ROUNDS = 2
 _CACHE = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -228,40 +233,81 @@ def open_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def class_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, n, tokens): the sets of the classes in ``wanted`` (class, _id), tokens as bytes."""
+def class_rows(texts: DataFrame, wanted: DataFrame, words: int, form: str) -> DataFrame:
+    """(class, n, data) of the classes in ``wanted`` (class, _id), read from the texts of their ids.
+
+    ``form`` is "tokens" for the set itself or "signature" for its hashed bitmap.
+    """
+    pack = {"tokens": lambda own: own.tobytes(), "signature": signature}[form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column(0)]
+            rows = []
+            for text, name in zip(batch.column(0), batch.column(1).to_pylist()):
+                own = shingles(text.as_py(), words)
+                # An id may have several texts; each class is that of one of them.
+                if class_of(own) == name:
+                    rows.append((name, len(own), pack(own)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([class_of(s) for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                ["class", "n", "tokens"],
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))],
+                ["class", "n", "data"],
             )
 
-    found = lookup(texts, wanted.select("_id").distinct(), "_id", "left_semi", row_bytes=32)
-    # An id may have several texts: only wanted classes stay, each once.
-    return stage(
-        found.select("_text")
-        .mapInArrow(run, "class long, n long, tokens binary")
-        .join(wanted.select("class"), "class", "left_semi")
-        .dropDuplicates(["class"]),
-        "sets",
+    found = lookup(texts, wanted.select("_id", "class"), "_id", "inner", row_bytes=32)
+    return stage(found.select("_text", "class").mapInArrow(run, "class long, n long, data binary"), form)
+
+
+def _grouped(
+    rows: DataFrame, each: Callable[[tuple, list[bytes], list[tuple]], list[tuple]], columns: list[str], schema: str
+) -> DataFrame:
+    """``each`` applied to every unit (bucket, i, j) of ``rows``, one after the other in sorted tasks.
+
+    It gets the unit, the ``data`` of its rows and their ``columns``, and returns rows of
+    64-bit integers as in ``schema``. A unit is bounded by how it was cut.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, data, values, found = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            columns_ = [pa.array([r[k] for r in found], pa.int64()) for k in range(len(names))]
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns_, names)
+
+        for batch in batches:
+            units = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            rest = list(zip(*(batch.column(k).to_pylist() for k in range(4, batch.num_columns))))
+            for k, own in enumerate(units):
+                if own != key:
+                    if len(data) > 1:
+                        found.extend(each(key, data, values))
+                    key, data, values = own, [], []
+                    if len(found) > 1 << 16:
+                        yield out()
+                data.append(batch.column(3)[k].as_py())
+                values.append(rest[k])
+        if len(data) > 1:
+            found.extend(each(key, data, values))
+        if found:
+            yield out()
+
+    return (
+        rows.select("bucket", "i", "j", "data", *columns)
+        .repartition("bucket", "i", "j")
+        .sortWithinPartitions("bucket", "i", "j")
+        .mapInArrow(run, schema)
     )
 
 
 def _link_units(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of groups linked within the units of ``rows`` (bucket, i, j, class, comp, tokens)."""
+    """(a, b): pairs of groups linked within the units of ``rows``, whose data are sets."""
 
-    def links(sets: list[np.ndarray], groups: list[int]) -> set[tuple[int, int]]:
-        names, numbers = np.unique(np.array(groups, np.int64), return_inverse=True)
+    def links(unit: tuple, data: list[bytes], values: list[tuple]) -> list[tuple]:
+        names, numbers = np.unique(np.array([v[0] for v in values], np.int64), return_inverse=True)
         if len(names) < 2:
-            return set()
-        a, b = similar_pairs(sets, numbers, percent)
+            return []
+        a, b = similar_pairs([np.frombuffer(d, np.uint64) for d in data], numbers, percent)
         root = list(range(len(names)))
 
         def find(x: int) -> int:
@@ -272,41 +318,72 @@ def _link_units(rows: DataFrame, percent: int) -> DataFrame:
         for x, y in np.unique(np.sort(np.stack([numbers[a], numbers[b]], axis=1), axis=1), axis=0).tolist():
             x, y = sorted((find(x), find(y)))
             root[y] = x
-        return {(int(names[find(x)]), int(names[x])) for x in range(len(names)) if find(x) != x}
+        return [(int(names[find(x)]), int(names[x])) for x in range(len(names)) if find(x) != x]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sets, groups = None, [], []
-        found: set[tuple[int, int]] = set()
+    return _grouped(rows, links, ["comp"], "a long, b long").distinct()
 
-        def out() -> pa.RecordBatch:
-            edges = sorted(found)
-            found.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"]
-            )
 
-        for batch in batches:
-            bucket, i, j, comp = (batch.column(k).to_pylist() for k in range(4))
-            for k, own in enumerate(zip(bucket, i, j)):
-                if own != key:
-                    found |= links(sets, groups) if len(sets) > 1 else set()
-                    key, sets, groups = own, [], []
-                    if len(found) > 1 << 16:
-                        yield out()
-                sets.append(np.frombuffer(batch.column(4)[k].as_py(), np.uint64))
-                groups.append(comp[k])
-        found |= links(sets, groups) if len(sets) > 1 else set()
-        if found:
-            yield out()
+def _sift_units(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, class): rows with a possible partner in their unit; their data are signatures."""
 
-    return (
-        rows.select("bucket", "i", "j", "comp", "tokens")
-        .repartition("bucket", "i", "j")
-        .sortWithinPartitions("bucket", "i", "j")
-        .mapInArrow(run, "a long, b long")
+    def sift(unit: tuple, data: list[bytes], values: list[tuple]) -> list[tuple]:
+        a, b = possible_pairs(data, np.array([v[1] for v in values], np.int64), percent)
+        return [(unit[0], values[k][0]) for k in np.unique(np.concatenate([a, b])).tolist()]
+
+    return _grouped(rows, sift, ["class", "n"], "token long, class long")
+
+
+def _widest(rows: DataFrame) -> DataFrame:
+    """(class, bucket): the shingle of most classes (``width``) of every class, ties by hash."""
+    return rows.groupBy("class").agg(
+        F.max(F.struct("width", F.xxhash64("token"), "token")).getField("token").alias("bucket")
+    )
+
+
+def _unsettled(rows: DataFrame, where: DataFrame) -> DataFrame:
+    """(token, class) of ``rows`` whose classes were not all in one whole bucket of ``where`` (class, bucket, partly)."""
+    return stage(
+        rows.select("token", "class").join(
+            rows.join(where, "class")
+            .groupBy("token")
+            .agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"), F.max("partly").alias("partly"))
+            .filter("a <> b OR partly")
+            .select("token"),
+            "token",
+        ),
+        "open",
     )
 
 
+def possible_rows(opened: DataFrame, signatures: DataFrame, percent: int, sift_tokens: int) -> DataFrame:
+    """(token, class) rows of ``opened`` under which a class may have a partner, by signature trees.
+
+    Every pair that may be similar is left together under one shingle at least.
+    """
+
+    def sift(rows: DataFrame) -> DataFrame:
+        """``rows`` (token, class) with a possible partner; buckets above the bound whole."""
+        sized = rows.join(signatures.select("class", "n"), "class")
+        large = stage(
+            sized.groupBy("token").agg(F.sum("n").alias("tokens")).filter(F.col("tokens") > sift_tokens).select("token"),
+            "large-buckets",
+        )
+        if not large.limit(1).count():
+            whole, small = None, rows
+        else:
+            marked = lookup(rows, large.withColumn("large", F.lit(True)), "token", row_bytes=32, spread="class")
+            whole, small = marked.filter("large").select("token", "class"), marked.filter("large IS NULL")
+        units = small.select(F.col("token").alias("bucket"), F.lit(0).alias("i"), F.lit(0).alias("j"), "class")
+        found = _sift_units(units.join(signatures, "class"), percent)
+        return found if whole is None else found.unionByName(whole)
+
+    width = opened.groupBy("token").agg(F.count(F.lit(1)).alias("width"))
+    picked = stage(_widest(opened.join(width, "token")), "picked")
+    first = sift(picked.select(F.col("bucket").alias("token"), "class"))
+    rest = _unsettled(opened, picked.withColumn("partly", F.lit(False)))
+    return stage(first.unionByName(sift(rest)).distinct(), "possible")
+
+
 def _units(members: DataFrame, first: bool, unit_tokens: int) -> DataFrame:
     """``members`` (bucket, class, comp, n) with the units (i, j) that each takes part in.
 
@@ -354,9 +431,8 @@ def linked_classes(
     opened: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, unit_tokens: int = UNIT_TOKENS
 ) -> DataFrame:
     """(class, comp): ``groups`` after all links among the classes of ``opened`` (token, class)."""
-    number = 0
-    total = groups.count()
-    while True:
+    sizes = sets.select("class", "n").distinct()
+    for number in range(ROUNDS + 1):
         rows = opened.join(groups, "class")
         live = (
             rows.groupBy("token")
@@ -365,35 +441,23 @@ def linked_classes(
             .select("token", "width")
         )
         rows = stage(rows.join(live, "token"), "open")
-        left = rows.count()
-        if not left:
-            return groups
-        first, last = number == 0, number > 0 and left <= LAST_ROWS * total
+        if not rows.limit(1).count():
+            break
+        first, last = number == 0, number == ROUNDS
         if last:
             members = rows.select(F.col("token").alias("bucket"), "class", "comp")
         else:
-            widest = F.max(F.struct("width", F.xxhash64("token"), "token"))
-            members = rows.groupBy("class", "comp").agg(widest.getField("token").alias("bucket"))
-        members = stage(members, "members").join(sets.select("class", "n"), "class")
+            members = _widest(rows).join(groups, "class")
+        members = stage(members, "members").join(sizes, "class")
         units = stage(_units(members, first, unit_tokens), "units")
-        edges = stage(_link_units(units.join(sets.select("class", "tokens"), "class"), percent), "links")
+        # Sets come to the units once; few units are sent to them instead.
+        shipped = lookup(sets.select("class", "data"), units, "class", "inner", row_bytes=96)
+        edges = stage(_link_units(shipped, percent), "links")
         groups = merge_groups(groups, edges)
-        if last:
-            return groups
-        # Settled: all classes of the shingle were in one bucket that was joined as a whole.
-        where = units.select("class", "bucket", (F.col("large") & F.lit(first)).alias("partly")).distinct()
-        opened = stage(
-            rows.select("token", "class").join(
-                rows.join(where, "class")
-                .groupBy("token")
-                .agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"), F.max("partly").alias("partly"))
-                .filter("a <> b OR partly")
-                .select("token"),
-                "token",
-            ),
-            "open",
-        )
-        number += 1
+        if not last:
+            where = units.select("class", "bucket", (F.col("large") & F.lit(first)).alias("partly")).distinct()
+            opened = _unsettled(rows, where)
+    return groups
 
 
 def merge_groups(groups: DataFrame, edges: DataFrame) -> DataFrame:
@@ -413,6 +477,7 @@ def similarity_components(
     id_col: str = "doc_id",
     text_col: str = "text",
     unit_tokens: int = UNIT_TOKENS,
+    sift_tokens: int = SIFT_TOKENS,
 ) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id reachable by links, for every row.
 
@@ -426,11 +491,18 @@ def similarity_components(
         rows.filter("n_shingles > 0").groupBy("class").agg(F.min("_id").cast("long").alias("comp")), "class-ids"
     )
     opened = open_rows(prefix_rows(texts, frequent, words, percent))
-    groups = stage(
-        classes.filter("comp IS NOT NULL").join(opened.select("class").distinct(), "class", "left_semi"), "groups"
-    )
-    sets = class_sets(texts, groups.select("class", F.col("comp").cast(docs.schema[id_col].dataType).alias("_id")), words)
-    linked = linked_classes(opened, sets, groups, percent, unit_tokens)
+    named_classes = classes.filter("comp IS NOT NULL")
+    kind = docs.schema[id_col].dataType
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        found = named_classes.join(rows.select("class").distinct(), "class", "left_semi")
+        return stage(found.withColumn("_id", F.col("comp").cast(kind)), "wanted")
+
+    signatures = class_rows(texts, wanted(opened), words, "signature")
+    opened = possible_rows(opened.join(signatures.select("class"), "class", "left_semi"), signatures, percent, sift_tokens)
+    groups = wanted(opened)
+    sets = class_rows(texts, groups, words, "tokens")
+    linked = linked_classes(opened, sets, groups.select("class", "comp"), percent, unit_tokens)
     final = classes.join(linked.withColumnRenamed("comp", "linked"), "class", "left").select(
         "class", F.coalesce("linked", "comp").alias("component_id")
     )

@@ -1,12 +1,15 @@
 """Similar sets among a bounded number of sets, by a signature tree.
 
-Every set is a bitmap over the tokens that at least two of the sets hold (other
-tokens cannot be shared), so bitmaps are exact. A node holds the OR of the
-bitmaps below it and the least and largest size below it. Two nodes are
-traversed together: the pair is dropped when the bits their ORs share are too
-few for the smallest sizes below them, when the size ranges are too far apart,
-or when all sets below are known to belong together. What is left at the bottom
-is decided by the overlap itself.
+Every set has a bitmap of its tokens. A node holds the OR of the bitmaps below it
+and the least and largest size below it. Two nodes are traversed together: the
+pair is dropped when the bits that their ORs share allow too small an overlap for
+the smallest sizes below them, when the size ranges are too far apart, or when
+all sets below are known to belong together.
+
+``similar_pairs`` has the sets themselves: a column per token that two of them hold
+makes bitmaps exact, and the bottom of the tree decides. ``possible_pairs`` has
+hashed bitmaps only: tokens that fell on a taken bit are counted, and the bound
+grows by the smaller count of the two sides, so that no similar pair is lost.
 """
 
 from __future__ import annotations
@@ -39,10 +42,11 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 class Level:
-    """Nodes of one level: OR of bitmaps, size range, range of group numbers."""
+    """Nodes of one level: OR of bitmaps, size range, tokens without a bit of their own, range of groups."""
 
-    def __init__(self, bits, low, high, first, last):
-        self.bits, self.low, self.high, self.first, self.last = bits, low, high, first, last
+    def __init__(self, bits, low, high, extra, first, last):
+        self.bits, self.low, self.high, self.extra = bits, low, high, extra
+        self.first, self.last = first, last
 
     def above(self) -> Level:
         starts = np.arange(0, len(self.low), FAN)
@@ -50,30 +54,25 @@ class Level:
             np.bitwise_or.reduceat(self.bits, starts, axis=0),
             np.minimum.reduceat(self.low, starts),
             np.maximum.reduceat(self.high, starts),
+            np.maximum.reduceat(self.extra, starts),
             np.minimum.reduceat(self.first, starts),
             np.maximum.reduceat(self.last, starts),
         )
 
     def possible(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        """Whether sets below nodes ``a`` and ``b`` can be similar and are not known to be linked."""
+        """Where sets below nodes ``a`` and ``b`` can be similar and are not known to be linked."""
         ok = (100 * self.high[a] >= percent * self.low[b]) & (100 * self.high[b] >= percent * self.low[a])
         known = (self.first[a] == self.last[a]) & (self.first[b] == self.last[b]) & (self.first[a] == self.first[b])
         at = np.flatnonzero(ok & ~known)
-        share = np.bitwise_count(self.bits[a[at]] & self.bits[b[at]]).sum(axis=1, dtype=np.int64)
-        return at[share >= needed(self.low[a[at]], self.low[b[at]], percent)]
+        a, b = a[at], b[at]
+        share = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1, dtype=np.int64)
+        share += np.minimum(self.extra[a], self.extra[b])
+        return at[share >= needed(self.low[a], self.low[b], percent)]
 
 
-def similar_pairs(
-    sets: list[np.ndarray], groups: np.ndarray, percent: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Index arrays (a, b) of all pairs of different groups that are at least ``percent`` similar.
-
-    Similar means 100 * overlap >= percent * union; empty sets are similar to nothing.
-    """
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    order = np.lexsort((sizes, groups))
-    sizes, groups = sizes[order], groups[order]
-    levels = [Level(bitmaps([sets[i] for i in order]), sizes, sizes, groups, groups)]
+def _traverse(bottom: Level, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b of different groups at the bottom that pass every bound."""
+    levels = [bottom]
     while len(levels[-1].low) > FAN:
         levels.append(levels[-1].above())
     a, b = np.triu_indices(len(levels[-1].low))
@@ -91,6 +90,57 @@ def similar_pairs(
             b = (b[:, None, None] * FAN + step[None, None, :] + np.zeros((1, FAN, 1), np.int64)).ravel()
             fine = (a < below) & (b < below) & (a <= b)
             a, b = a[fine], b[fine]
-    # At the bottom low is the size itself, so what is left reaches the needed overlap.
-    fine = (a < b) & (groups[a] != groups[b]) & (sizes[a] > 0)
-    return order[a[fine]], order[b[fine]]
+    fine = (a < b) & (bottom.first[a] != bottom.first[b]) & (bottom.low[a] > 0)
+    return a[fine], b[fine]
+
+
+def similar_pairs(sets: list[np.ndarray], groups: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index arrays (a, b) of all pairs of different groups that are at least ``percent`` similar.
+
+    Similar means 100 * overlap >= percent * union; empty sets are similar to nothing.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.lexsort((sizes, groups))
+    sizes, groups = sizes[order], groups[order]
+    # At the bottom low is the size and bits are exact, so what is left reaches the needed overlap.
+    exact = Level(bitmaps([sets[i] for i in order]), sizes, sizes, np.zeros_like(sizes), groups, groups)
+    a, b = _traverse(exact, percent)
+    return order[a], order[b]
+
+
+def signature(tokens: np.ndarray) -> bytes:
+    """Hashed bitmap of a set, of four to eight bits per token."""
+    width = max(64, 1 << int(4 * len(tokens)).bit_length())
+    out = np.zeros(width >> 3, np.uint8)
+    at = (tokens & np.uint64(width - 1)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+    return out.tobytes()
+
+
+def size_band(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes of similar sets are in the same band or in neighbouring ones."""
+    return np.floor(np.log(sizes) / max(np.log(100 / percent) * 1.0001, 1e-6)).astype(np.int64)
+
+
+def possible_pairs(signatures: list[bytes], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index arrays of pairs that may be ``percent`` similar, by their hashed bitmaps.
+
+    Sizes are above 0. Sets are compared band by band, with bitmaps folded to the
+    narrowest of the two bands.
+    """
+    bands = size_band(sizes, percent)
+    out = []
+    for band in np.unique(bands):
+        some = np.flatnonzero((bands == band) | (bands == band + 1))
+        some = some[np.argsort(sizes[some], kind="stable")]
+        width = min(len(signatures[i]) for i in some)
+        bits = np.stack(
+            [np.bitwise_or.reduce(np.frombuffer(signatures[i], np.uint64).reshape(-1, width >> 3), axis=0) for i in some]
+        )
+        own = sizes[some]
+        extra = own - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        each = np.arange(len(some))
+        a, b = _traverse(Level(bits, own, own, extra, each, each), percent)
+        out.append(np.stack([some[a], some[b]]))
+    a, b = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1) if out else np.empty((2, 0), np.int64)
+    return a, b

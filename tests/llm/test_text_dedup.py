@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import brute  # noqa: E402
 from basketrank.llm import components, decontaminate, exact_dedup, line_dedup, ngram_join  # noqa: E402
-from basketrank.llm.signature_tree import similar_pairs  # noqa: E402
+from basketrank.llm.signature_tree import possible_pairs, signature, similar_pairs  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 PLAIN = [(r[0], r[1]) for r in brute.ROWS]
@@ -89,7 +89,7 @@ def test_similarity_in_small_units(spark):
     assert len({c for _, c in want.values()}) > 1
     for unit in (100, 1000, 1 << 19):
         got = by_id(
-            ngram_join.similarity_components(df, 3, 85, unit_tokens=unit), "n_shingles", "component_id"
+            ngram_join.similarity_components(df, 3, 85, unit_tokens=unit, sift_tokens=unit), "n_shingles", "component_id"
         )
         assert got == want
 
@@ -129,6 +129,16 @@ def test_signature_tree_equals_all_pairs():
                 if groups[i] != groups[j] and shared and 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
                     want.add((j, i))
         assert got == want
+        # Hashed bitmaps may keep more pairs, never fewer.
+        sizes = np.array([len(x) for x in sets])
+        a, b = possible_pairs([signature(x) for x in sets], sizes, percent)
+        every = {tuple(sorted((i, j))) for i in range(m) for j in range(i) if _similar(sets[i], sets[j], percent)}
+        assert every <= set(zip(a.tolist(), b.tolist()))
+
+
+def _similar(x, y, percent):
+    shared = len(np.intersect1d(x, y))
+    return shared and 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def test_components_of_chains_and_stars(spark):
