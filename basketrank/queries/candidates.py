@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketrank.functions.staging import new_path, stage
+from basketrank.functions.vectors import top_k_by_dot
 from basketrank.operators import covisit, embedding
 from basketrank.operators.candidates import merge_candidates
 from basketrank.operators.history import history_candidates
@@ -19,18 +20,20 @@ from basketrank.queries.common import (
     base,
     merged,
     neighbours,
+    round_sql,
     rounded,
     sql,
     tidy,
     with_all_candidates,
 )
+from basketrank.sources import star
 
 
 def _history(by: str, max_items: int = 200):
     return lambda spark, folder: history_candidates(Case(spark, folder, by).train, max_items)
 
 
-def _covisit_matrix(by: str, max_bill: int = 20):
+def _covisit_matrix(by: str, max_bill: int | None = 20):
     return lambda spark, folder: covisit.covisit_neighbours(
         Case(spark, folder, by).train, max_bill=max_bill
     )
@@ -48,8 +51,30 @@ def _sequences(spark, folder):
 
 
 def _unit(spark, folder):
-    rows = embedding.unit_vectors(Case(spark, folder).vectors)
-    return tidy(rows.select("item_id", F.posexplode("vec").alias("d", "x")))
+    rows = embedding.unit_vectors(star.embedding_rows(spark, folder))
+    return tidy(rows.select("vec_id", F.posexplode("vec").alias("d", "x")))
+
+
+def _nearest_rows(limit_bytes: int | None = None):
+    """For every embedding the ten others with the largest dot product."""
+
+    def run(spark, folder):
+        rows = stage(star.embedding_rows(spark, folder), "rows")
+        return top_k_by_dot(
+            rows.select(F.col("vec_id").alias("customer_id"), "vec"),
+            rows.select(F.col("vec_id").cast("string").alias("item_id"), "vec"),
+            10,
+            rows.select(F.col("vec_id").alias("customer_id"), F.col("vec_id").cast("string").alias("item_id")),
+            dims=64, limit_bytes=limit_bytes, customers_per_block=200, items_per_block=120,
+        )
+
+    return run
+
+
+def _vectors_roundtrip(spark, folder):
+    path = new_path(spark, "vectors")
+    Case(spark, folder, "part").vectors.write.parquet(path)
+    return tidy(spark.read.parquet(path).select("item_id", F.posexplode("vec").alias("d", "x")))
 
 
 def _customer_vectors(by: str):
@@ -89,6 +114,7 @@ QUERIES = {
     "covisit_matrix": _covisit_matrix("group"),
     "covisit_matrix_cap5": _covisit_matrix("group", 5),
     "covisit_matrix_part": _covisit_matrix("part"),
+    "covisit_matrix_uncapped": _covisit_matrix("group", None),
     "covisit_input_stats": lambda spark, folder: covisit.bill_stats(
         covisit.bill_items(Case(spark, folder).train)
     ),
@@ -97,6 +123,9 @@ QUERIES = {
     "covisit_candidates_part": lambda spark, folder: Case(spark, folder, "part").covisit(),
     "purchase_sequences": _sequences,
     "unit_embeddings": _unit,
+    "vectors_roundtrip": _vectors_roundtrip,
+    "top_dot_embeddings": _nearest_rows(),
+    "top_dot_embeddings_blocks": _nearest_rows(0),
     "decayed_user_vector": _customer_vectors("group"),
     "decayed_user_vector_part": _customer_vectors("part"),
     "knn_cosine": _nearest("group"),
@@ -135,6 +164,22 @@ def _nearest_sql(by: str) -> str:
     return sql(_NEAREST, base(by), HISTORY, VECTORS, CUSTOMER_VECTORS, NEAREST)
 
 
+_ALL_CELLS = """
+all_cells AS (
+    SELECT vec_id, unnest(range(0, len(embedding))) AS d, CAST(unnest(embedding) AS DOUBLE) AS x
+    FROM embeddings)"""
+
+_TOP_DOT = sql(
+    """SELECT customer_id, item_id, score, CAST(pos AS INTEGER) AS pos FROM (
+        SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, item_id) AS pos FROM (
+            SELECT a.vec_id AS customer_id, CAST(b.vec_id AS VARCHAR) AS item_id,
+                   round(sum(a.x * b.x), 9) + 0.0 AS score
+            FROM all_cells a JOIN all_cells b ON a.d = b.d AND a.vec_id <> b.vec_id GROUP BY ALL))
+    WHERE pos <= 10""",
+    _ALL_CELLS,
+)
+
+
 SQL = {
     "history_candidates": _history_sql("group"),
     "history_candidates_cap20": _history_sql("group", 20),
@@ -142,6 +187,7 @@ SQL = {
     "covisit_matrix": sql(_NEIGHBOURS, base(), neighbours()),
     "covisit_matrix_cap5": sql(_NEIGHBOURS, base(), neighbours(5)),
     "covisit_matrix_part": sql(_NEIGHBOURS, base("part"), neighbours()),
+    "covisit_matrix_uncapped": sql(_NEIGHBOURS, base(), neighbours(1_000_000)),
     "covisit_input_stats": sql(
         "SELECT count(DISTINCT bill_id) AS n_bills, count(DISTINCT item_id) AS n_items, "
         "count(*) AS n_pairs FROM bill_cut",
@@ -157,8 +203,16 @@ SQL = {
         "FROM train GROUP BY customer_id"
     ),
     "unit_embeddings": sql(
-        _CELLS.format(key="item_id", x=rounded("x"), table="unit_cells"), base(), VECTORS
+        "SELECT c.vec_id, CAST(c.d AS INTEGER) AS d, " + round_sql("c.x / n", "x")
+        + " FROM all_cells c JOIN (SELECT vec_id, sqrt(sum(x * x)) AS n FROM all_cells GROUP BY ALL) l "
+        "ON c.vec_id = l.vec_id",
+        _ALL_CELLS,
+    ),
+    "vectors_roundtrip": sql(
+        _CELLS.format(key="item_id", x=rounded("x"), table="cells"), base("part"), VECTORS
     ),
+    "top_dot_embeddings": _TOP_DOT,
+    "top_dot_embeddings_blocks": _TOP_DOT,
     "decayed_user_vector": _customer_sql("group"),
     "decayed_user_vector_part": _customer_sql("part"),
     "knn_cosine": _nearest_sql("group"),

@@ -132,9 +132,16 @@ _ITEMS = {
 }
 
 _VECTORS = {
-    "group": "SELECT s.item_id, e.embedding FROM embeddings e JOIN slots s ON e.vec_id = s.slot",
+    "group": """
+    SELECT item_id, list(x ORDER BY d) AS embedding FROM (
+        SELECT s.item_id, d, avg(x) AS x FROM slots s JOIN (
+            SELECT vec_id % (SELECT count(*) FROM slots) AS slot,
+                   unnest(range(1, len(embedding) + 1)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x
+            FROM embeddings) e ON s.slot = e.slot
+        GROUP BY ALL)
+    GROUP BY item_id""",
     "part": "SELECT CAST(p_partkey AS VARCHAR) AS item_id, e.embedding "
-    "FROM embeddings e JOIN part ON e.vec_id = p_partkey",
+    "FROM embeddings e JOIN part ON e.vec_id = p_partkey % (SELECT count(*) FROM embeddings)",
 }
 
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from basketrank.functions.joins import lookup
+from basketrank.functions.vectors import weighted_mean
 from basketrank.sources.tables import Tables
 
 GROUP = "group"
@@ -90,7 +92,7 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     raw = scan(spark, folder, "events").withColumn(
         "slot", F.get_json_object("props", "$.k").cast("int")
     )
-    return raw.join(F.broadcast(slots), "slot").select(
+    return lookup(raw, slots, "slot", "inner", row_bytes=64, spread="user_id").select(
         F.col("user_id").cast("int").alias("customer_id"),
         "item_id",
         "event_type",
@@ -98,17 +100,26 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def item_vectors(spark: SparkSession, folder: str, by: str = GROUP) -> DataFrame:
-    """The embedding row whose id is the item's position stands in for its vector."""
-    rows = scan(spark, folder, "embeddings").select(
+def embedding_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(spark, folder, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("vec")
     )
+
+
+def item_vectors(spark: SparkSession, folder: str, by: str = GROUP) -> DataFrame:
+    """(item_id, vec): every embedding row and every item takes part.
+
+    With n items and m rows numbered from 0, a part has row ``p_partkey`` mod m and
+    the grouped item at position i the mean of the rows whose number is i mod n.
+    """
+    rows = embedding_rows(spark, folder)
     if by == PART:
-        parts = scan(spark, folder, "part").select("p_partkey")
-        known = rows.join(parts, rows.vec_id == parts.p_partkey)
-        return known.select(F.col("vec_id").cast("string").alias("item_id"), "vec")
+        place = (F.col("p_partkey") % rows.count()).alias("vec_id")
+        parts = scan(spark, folder, "part").select(_item_id(PART).alias("item_id"), place)
+        return parts.join(rows, "vec_id").select("item_id", "vec")
     slots = _item_slots(spark, folder)
-    return rows.join(F.broadcast(slots), rows.vec_id == slots.slot).select("item_id", "vec")
+    placed = rows.select((F.col("vec_id") % slots.count()).alias("slot"), "vec", F.lit(1.0).alias("one"))
+    return slots.join(weighted_mean(placed, "slot", "one"), "slot").select("item_id", "vec")
 
 
 def open_star(spark: SparkSession, folder: str, by: str = GROUP) -> Tables:
