@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketrank import config
+from basketrank.functions.ordering import dense_index
 
 # Decimal places of the list metrics.
 LIST_METRIC_DIGITS = 6
@@ -104,6 +105,51 @@ def per_customer(
     )
 
 
+def auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """One row, ``auc``: the chance that a positive scores above a negative, ties half.
+
+    Exact by the rank sum. Rows are numbered by one distributed ordering; equal
+    scores share their middle number. Null without both kinds of rows.
+    """
+    placed = dense_index(rows.select(F.col(score).alias("s"), F.col(label).alias("y")), [F.col("s")], "at", 1)
+    by_score = placed.groupBy("s").agg(
+        ((F.min("at") + F.max("at")) / 2).alias("rank"), F.sum("y").alias("pos"), F.count("*").alias("n")
+    )
+    totals = by_score.agg(
+        F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("pos"), F.sum("n").alias("n")
+    )
+    least = F.col("pos") * (F.col("pos") + 1) / 2
+    pairs = F.col("pos") * (F.col("n") - F.col("pos"))
+    return totals.select(F.when(pairs > 0, (F.col("ranks") - least) / pairs).alias("auc"))
+
+
+def list_contract(
+    lists: DataFrame, seen: DataFrame | None = None, score: str | None = "score"
+) -> DataFrame:
+    """(customer_id, n_rows, n_seen, n_breaks): whether ranked lists keep their promises.
+
+    Breaks are positions that do not follow on, and scores that rise.
+    """
+    if seen is None:
+        marked = lists.withColumn("_seen", F.lit(0))
+    else:
+        known = seen.select("customer_id", "item_id").distinct().withColumn("_seen", F.lit(1))
+        marked = lists.join(known, ["customer_id", "item_id"], "left")
+    order = Window.partitionBy("customer_id").orderBy("pos")
+    broken = F.col("pos") != F.row_number().over(order)
+    if score:
+        broken |= F.coalesce(F.lag(score).over(order) < F.col(score), F.lit(False))
+    return (
+        marked.withColumn("_break", broken.cast("int"))
+        .groupBy("customer_id")
+        .agg(
+            F.count("*").alias("n_rows"),
+            F.sum(F.coalesce("_seen", F.lit(0))).alias("n_seen"),
+            F.sum("_break").alias("n_breaks"),
+        )
+    )
+
+
 def _mean(name: str) -> Column:
     return F.coalesce(F.avg(name), F.lit(0.0))
 

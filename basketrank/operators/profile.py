@@ -34,5 +34,6 @@ def monthly_distribution(df: DataFrame, ts: str) -> DataFrame:
     return df.groupBy(F.month(ts).alias("month")).agg(F.count("*").alias("n")).orderBy("month")
 
 
-def preview(df: DataFrame, n: int = 5) -> DataFrame:
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 5, order: list[str] | None = None) -> DataFrame:
+    """The first ``n`` rows by ``order``, all columns unless named: the same rows every time."""
+    return df.orderBy(*(order or df.columns)).limit(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from basketrank.functions.staging import stage
+from basketrank.functions.staging import new_path, stage
 from basketrank.models.popularity import PopularityModel, popularity_ranking
 from basketrank.operators import evaluate as ev
 from basketrank.operators import matrix
@@ -14,6 +14,7 @@ from basketrank.operators.split import customers_of
 from basketrank.queries.common import Case, base, round_sql, sql, tidy
 from basketrank.queries.features import _CROSSED
 from basketrank.queries.tables import POPULAR_SQL
+from basketrank.sources.sinks import write_metrics
 
 
 def popular_lists(case: Case, k: int = 10) -> DataFrame:
@@ -78,7 +79,32 @@ def _evaluate_history(spark, folder):
     return _plain_names(ev.evaluate(_purchase_positions(case), case.val, 10, customers))
 
 
+def _popular_reloaded(spark, folder):
+    case = Case(spark, folder)
+    pairs = stage(interactions(case.train), "interactions")
+    path = new_path(spark, "popularity")
+    PopularityModel.fit(pairs).save(path)
+    return PopularityModel.load(spark, path).recommend(case.known_customers, 10, pairs)
+
+
+def _metrics_sink(spark, folder):
+    """Metrics written as one JSON object and read back."""
+    case = Case(spark, folder)
+    path = new_path(spark, "metrics")
+    metrics = ev.evaluate(popular_lists(case), case.val)
+    write_metrics(metrics, path)
+    return _plain_names(spark.read.schema(metrics.schema).json(path))
+
+
+def _auc(spark, folder):
+    case = Case(spark, folder)
+    return tidy(ev.auc(matrix.label_candidates(scored_candidates(case), case.val)))
+
+
 QUERIES = {
+    "popularity_reloaded": _popular_reloaded,
+    "metrics_sink": _metrics_sink,
+    "auc": _auc,
     "popularity_ranking": _ranking,
     "popularity_topk": _popular("group"),
     "popularity_topk_part": _popular("part"),
@@ -174,7 +200,23 @@ def _popular_metrics(select: str, k: int) -> str:
     )
 
 
+_EVALUATED = _popular_metrics(f"{_top_k(10, 'list_precision')}, {_LIST}", 10)
+
 SQL = {
+    "popularity_reloaded": sql(_POPULAR, base(), POPULAR_SQL),
+    "metrics_sink": _EVALUATED,
+    "auc": sql(
+        f"""SELECT {round_sql("(ranks - pos * (pos + 1) / 2.0) / (pos * (n - pos))", "auc")} FROM (
+            SELECT sum(CASE WHEN label = 1 THEN rank + (ties - 1) / 2.0 END) AS ranks,
+                   sum(label) AS pos, count(*) AS n
+            FROM (SELECT label, rank() OVER (ORDER BY score) AS rank,
+                         count(*) OVER (PARTITION BY score) AS ties
+                  FROM (SELECT c.ui_covisit_score + c.ui_history_count AS score,
+                               CAST(v.item_id IS NOT NULL AS INTEGER) AS label
+                        FROM crossed c LEFT JOIN (SELECT DISTINCT customer_id, item_id FROM val) v
+                          ON c.customer_id = v.customer_id AND c.item_id = v.item_id)))""",
+        *_CROSSED,
+    ),
     "popularity_ranking": sql(
         "SELECT item_id, CAST(weight AS DOUBLE) AS weight, rank FROM ranking", base(), POPULAR_SQL
     ),
@@ -198,7 +240,7 @@ SQL = {
     "metrics_topk": _popular_metrics(_top_k(10), 10),
     "metrics_topk_k3": _popular_metrics(_top_k(3), 3),
     "metrics_pir": _popular_metrics(_LIST, 10),
-    "evaluate": _popular_metrics(f"{_top_k(10, 'list_precision')}, {_LIST}", 10),
+    "evaluate": _EVALUATED,
     "evaluate_k5": _popular_metrics(f"{_top_k(5)}, {_LIST}", 5),
     "evaluate_history": sql(
         f"SELECT {_top_k(10, 'list_precision')}, {_LIST} FROM m",

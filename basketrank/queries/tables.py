@@ -117,6 +117,31 @@ def _resume(spark, folder):
     return sinks.remaining_customers(case.val_customers, sinks.finished_customers(spark, path))
 
 
+def _rerun(spark, folder):
+    """A second run over a finished one: its lists are those of the second model."""
+    case = Case(spark, folder)
+    path = new_path(spark, "rerun")
+    first = case.val_customers.select(
+        "customer_id", F.lit("none").alias("item_id"), F.lit(1).alias("pos")
+    )
+    sinks.write_resumable(
+        case.val_customers, lambda part, bucket: first.join(part, "customer_id"), path, 2, tag="a"
+    )
+    lists = stage(_popular_lists(case, case.known_customers), "lists")
+    sinks.write_resumable(
+        case.val_customers, lambda part, bucket: lists.join(part, "customer_id"), path, 2, tag="b"
+    )
+    return sinks.read_lists(spark, path).select(
+        "customer_id", F.concat_ws(",", "items").alias("items")
+    )
+
+
+def _items_roundtrip(spark, folder):
+    path = new_path(spark, "catalogue")
+    Case(spark, folder).items.write.parquet(path)
+    return tidy(spark.read.parquet(path))
+
+
 def _profile(table: str, ts: str | None, distinct: dict[str, str]):
     return lambda spark, folder: profile.table_profile(
         getattr(Case(spark, folder), table), ts, distinct
@@ -178,6 +203,8 @@ QUERIES = {
     "predictions_sink": _predictions_sink,
     "ground_truth_lists": _ground_truth,
     "resume_remaining_users": _resume,
+    "rerun_replaces_lists": _rerun,
+    "items_roundtrip": _items_roundtrip,
 }
 
 _SPLIT_CASE = """CASE WHEN month({ts}) BETWEEN 1 AND 10 THEN 'train'
@@ -219,12 +246,25 @@ def _index_sql(key: str, by: str = "group") -> str:
     )
 
 
+_LISTS_SQL = sql(
+    """SELECT CAST(u.customer_id AS VARCHAR) AS customer_id,
+              coalesce(string_agg(p.item_id, ',' ORDER BY p.pos), '') AS items
+    FROM val_customers u LEFT JOIN popular p ON u.customer_id = p.customer_id
+    GROUP BY u.customer_id""",
+    base(),
+    POPULAR_SQL,
+)
+
+_SCAN_ITEMS = sql(
+    f"SELECT item_id, sale_status, category_l1, category_l2, brand, {rounded('price')} FROM items"
+)
+
 SQL = {
     "scan_transactions": sql(f"SELECT {_TX_SQL} FROM tx"),
+    "preview": sql(f"SELECT {_TX_SQL} FROM tx ORDER BY {_TX} LIMIT 5"),
     "scan_events": sql("SELECT customer_id, item_id, event_type, event_date FROM ev"),
-    "scan_items": sql(
-        f"SELECT item_id, sale_status, category_l1, category_l2, brand, {rounded('price')} FROM items"
-    ),
+    "scan_items": _SCAN_ITEMS,
+    "items_roundtrip": _SCAN_ITEMS,
     "split_transactions": _split_sql(),
     "split_transactions_y2000": _split_sql("year(updated_date) = 2000"),
     "split_events": sql(
@@ -273,14 +313,8 @@ SQL = {
     "user_index": _index_sql("customer_id"),
     "item_index": _index_sql("item_id"),
     "item_index_part": _index_sql("item_id", "part"),
-    "predictions_sink": sql(
-        """SELECT CAST(u.customer_id AS VARCHAR) AS customer_id,
-                  coalesce(string_agg(p.item_id, ',' ORDER BY p.pos), '') AS items
-        FROM val_customers u LEFT JOIN popular p ON u.customer_id = p.customer_id
-        GROUP BY u.customer_id""",
-        base(),
-        POPULAR_SQL,
-    ),
+    "predictions_sink": _LISTS_SQL,
+    "rerun_replaces_lists": _LISTS_SQL,
     "ground_truth_lists": sql(
         """SELECT CAST(customer_id AS VARCHAR) AS customer_id,
                   string_agg(item_id, ',' ORDER BY item_id) AS items
