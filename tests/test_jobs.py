@@ -7,7 +7,7 @@ import json
 import pytest
 
 from basketrank.config import AlsParams, CandidateLimits, EmbeddingParams, RankerParams
-from basketrank.jobs import profile, single_stage, two_stage
+from basketrank.jobs import prepare, profile, single_stage, two_stage
 from basketrank.jobs.common import Places
 from basketrank.models.als import AlsRecommender
 from basketrank.models.ranker import PairRanker
@@ -177,6 +177,28 @@ def test_word2vec_vocabulary_is_the_frequent_items(spark, small):
     assert known == {r["item_id"] for r in frequent}
 
 
+def test_prepared_tables_are_pruned_by_month(spark, tables, tmp_path):
+    from conftest import plan
+
+    prepare.run(spark, tables, Places(str(tmp_path)))
+    tables.items.write.parquet(f"{tmp_path}/items")
+    stored = open_tables(spark, f"{tmp_path}/transactions", f"{tmp_path}/items", f"{tmp_path}/events")
+    assert stored.transactions.count() == tables.transactions.count()
+    rule = split.SplitRule(year=2000)
+    labelled = plan(split.with_part(stored.transactions, "updated_date", rule))
+    assert "part_year" in labelled.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
+def test_split_filters_reach_the_scan(spark, small):
+    from conftest import plan
+
+    tx = open_star(spark, small).transactions
+    text = plan(split.with_part(tx, "updated_date", split.SplitRule(year=2000)))
+    assert "GreaterThanOrEqual(o_orderdate,2000-01-01" in text
+    text = plan(split.by_target(tx).groupBy("target", "role").count())
+    assert text.count("lineitem.parquet") == 1
+
+
 def test_profile(spark, tables, out):
     profile.run(spark, tables, out, event_year=2024)
     row = spark.read.json(out.report("profile/split")).filter("split = 'train'").first()

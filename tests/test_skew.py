@@ -28,6 +28,11 @@ NAMES = [
     "knn_cosine",
     "generate_candidates_part",
     "feature_matrix",
+    "cross_features",
+    "predictions_dedup",
+    "ground_truth_lists",
+    "top_dot_embeddings",
+    "covisit_matrix_uncapped",
     "label_candidates",
     "negative_sampling",
     "popularity_topk",
