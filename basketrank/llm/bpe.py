@@ -33,7 +33,7 @@ from basketrank.llm.common import named
 #: A vocabulary of the installed collection.
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces whose ids a worker keeps in each of two generations.
-CACHE = 500_000
+CACHE = 200_000
 #: Pieces longer than this are not kept.
 CACHED_LENGTH = 40
 

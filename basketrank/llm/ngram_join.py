@@ -51,14 +51,15 @@ PERCENT = 80
 #: Shingles of the sets that one unit of a bucket holds, on either side.
 UNIT_TOKENS = 1 << 19
 #: Frequent shingles that come last in the order; its only effect is on speed.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 16
 #: A shingle is frequent from this share of the rows on.
 FREQUENT_SHARE = 1 / 2000
 #: Signatures are about a sixteenth of the sets.
 SIFT_TOKENS = 16 * UNIT_TOKENS
 #: Rounds before the last one, which takes all open shingles.
 ROUNDS = 2
-_CACHE = 1_000_000
+#: Words and classes that a worker remembers.
+_CACHE = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -138,7 +139,7 @@ def document_classes(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarra
                 classes.append(class_of(own))
                 seen.append(own)
                 held += len(own)
-                if held > 1 << 21:
+                if held > 1 << 19:
                     fold()
             rows += len(sizes)
             none = pa.nulls(len(sizes), pa.int64())
