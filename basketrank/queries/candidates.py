@@ -96,7 +96,7 @@ def _nearest(by: str):
 
 def _merge(spark, folder):
     """A list of 40 per customer, so that the total limit takes effect."""
-    case = Case(spark, folder)
+    case = Case(spark, folder, once=True)
     history = case.history()
     near = stage(case.neighbours(), "neighbours")
     bought_together = covisit.covisit_candidates(history, near)
@@ -104,7 +104,7 @@ def _merge(spark, folder):
 
 
 def _generate(by: str):
-    return lambda spark, folder: tidy(Case(spark, folder, by).candidates())
+    return lambda spark, folder: tidy(Case(spark, folder, by, once=True).candidates())
 
 
 QUERIES = {

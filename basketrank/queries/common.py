@@ -20,16 +20,23 @@ COSINES = ("score", "w2v_score", "ui_w2v_score")
 
 
 class Case:
-    """The logical tables of one folder and the usual steps on them."""
+    """The logical tables of one folder and the usual steps on them.
 
-    def __init__(self, spark: SparkSession, folder: str, by: str = star.GROUP) -> None:
+    ``once`` stages the purchase lines, for queries that read them many times.
+    """
+
+    def __init__(
+        self, spark: SparkSession, folder: str, by: str = star.GROUP, once: bool = False
+    ) -> None:
         self.spark = spark
         self.folder = folder
         self.by = by
+        self.once = once
 
     @cached_property
     def tx(self) -> DataFrame:
-        return star.transactions(self.spark, self.folder, self.by)
+        rows = star.transactions(self.spark, self.folder, self.by)
+        return stage(rows, "transactions") if self.once else rows
 
     @cached_property
     def items(self) -> DataFrame:

@@ -32,7 +32,7 @@ def _item_features(by: str):
 
 
 def _cross(spark, folder):
-    case = Case(spark, folder)
+    case = Case(spark, folder, once=True)
     return tidy(cross_features(case.candidates(), case.train, case.val_customers))
 
 
@@ -49,27 +49,19 @@ def labelled_matrix(case: Case):
     )
 
 
-def _labels(distinct: bool):
-    def run(spark, folder):
-        case = Case(spark, folder)
-        rows = cross_features(case.candidates(), case.train, case.val_customers)
-        return matrix.label_candidates(rows, case.val, distinct).select(
-            "customer_id", "item_id", "label"
-        )
-
-    return run
+def labelled_pairs(case: Case, distinct: bool = True):
+    """Labels need the candidates only, not their features."""
+    labelled = matrix.label_candidates(case.candidates(), case.val, distinct)
+    return labelled.select("customer_id", "item_id", "label")
 
 
-def labelled_pairs(case: Case):
-    rows = cross_features(case.candidates(), case.train, case.val_customers)
-    return stage(matrix.label_candidates(rows, case.val), "labelled")
+def _labels(distinct: bool):
+    return lambda spark, folder: labelled_pairs(Case(spark, folder, once=True), distinct)
 
 
 def _negatives(spark, folder):
-    pairs = labelled_pairs(Case(spark, folder))
-    return matrix.sample_pairs(pairs, negatives_per_positive=3).select(
-        "customer_id", "item_id", "label"
-    )
+    pairs = stage(labelled_pairs(Case(spark, folder, once=True)), "labelled")
+    return matrix.sample_pairs(pairs, negatives_per_positive=3)
 
 
 QUERIES = {
@@ -87,7 +79,7 @@ QUERIES = {
     ).select("item_id", *[f"{c}_enc" for c in CATEGORIES]),
     "user_item_stats": lambda spark, folder: tidy(user_item_stats(Case(spark, folder).train)),
     "cross_features": _cross,
-    "feature_matrix": lambda spark, folder: tidy(labelled_matrix(Case(spark, folder))),
+    "feature_matrix": lambda spark, folder: tidy(labelled_matrix(Case(spark, folder, once=True))),
     "label_candidates": _labels(True),
     "label_candidates_fanout": _labels(False),
     "negative_sampling": _negatives,

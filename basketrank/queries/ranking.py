@@ -37,7 +37,7 @@ def scored_candidates(case: Case) -> DataFrame:
 
 
 def _rank(spark, folder):
-    return tidy(matrix.rank_top_k(scored_candidates(Case(spark, folder))))
+    return tidy(matrix.rank_top_k(scored_candidates(Case(spark, folder, once=True))))
 
 
 def _purchase_positions(case: Case) -> DataFrame:
@@ -97,7 +97,7 @@ def _metrics_sink(spark, folder):
 
 
 def _auc(spark, folder):
-    case = Case(spark, folder)
+    case = Case(spark, folder, once=True)
     return tidy(ev.auc(matrix.label_candidates(scored_candidates(case), case.val)))
 
 
