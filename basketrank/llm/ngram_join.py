@@ -3,15 +3,15 @@
 The join is exact. Texts become sets of 64-bit shingle hashes; equal sets form a
 class and are joined once.
 
-1. One pass gives (id, size, class) of every row and, per task, the shingles
-   that are frequent in it; the most frequent of all come last in the order of
-   shingles, the others are ordered by hash.
+1. One pass gives (id, size, class) of every row and, per task, its frequent
+   shingles and words. Shingles that are frequent over all tasks, and those of
+   common words only, come last in the order of shingles; others go by hash.
 2. Prefix filter: similar sets share a shingle among the first ones of both, so a
    second pass writes (shingle, class) for those only, and shingles of one class
    drop out.
-3. Signature trees (``signature_tree``) of hashed bitmaps sift what is left: only
-   classes with a possible partner under their shingle stay, and only their sets
-   are staged.
+3. Signature trees (``signature_tree``) of hashed bitmaps sift what is left, first
+   with outlines, then with signatures four times as wide: only classes with a
+   possible partner under their shingle stay, and only their sets are staged.
 4. Signature trees of exact bitmaps join the rest, in buckets cut into units of
    bounded size. First every class goes to one bucket, that of its widest open
    shingle. Shingles of which all classes lay in one bucket are settled, as are
@@ -52,6 +52,8 @@ PERCENT = 80
 UNIT_TOKENS = 1 << 19
 #: Frequent shingles that come last in the order; its only effect is on speed.
 FREQUENT = 1 << 16
+#: Most frequent words; shingles of such words alone come last as well.
+COMMON = 1 << 12
 #: A shingle is frequent from this share of the rows on.
 FREQUENT_SHARE = 1 / 2000
 #: Signatures are about a sixteenth of the sets.
@@ -73,23 +75,80 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of a text."""
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order."""
     parts = text.encode().lower().split() if text else ()
-    if not parts:
-        return np.empty(0, np.uint64)
     if len(_HASHES) > _CACHE:
         _HASHES.clear()
-    hashes = np.fromiter(map(_HASHES.__getitem__, parts), np.uint64, len(parts))
-    n = min(words, len(parts))
-    last = len(parts) - n + 1
+    return np.fromiter(map(_HASHES.__getitem__, parts), np.uint64, len(parts))
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a text."""
+    return np.unique(_shingle_hashes(word_hashes(text), words))
+
+
+def _shingle_hashes(hashes: np.ndarray, words: int) -> np.ndarray:
+    if not len(hashes):
+        return hashes
+    n = min(words, len(hashes))
+    last = len(hashes) - n + 1
     out = hashes[:last] + np.uint64(n)
     for i in range(1, n):
         out = out * _STEP + hashes[i : last + i]
     out ^= out >> np.uint64(31)
     out *= _MIX
     out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def _holds(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+
+
+def ordered_shingles(
+    text: str | None, words: int, frequent: np.ndarray, common: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted set of a text, and its shingles in the order of the prefix filter.
+
+    The order depends on the shingle alone: by hash, but those that are ``frequent``
+    or made of ``common`` words only come last.
+    """
+    hashes = word_hashes(text)
+    plain = _shingle_hashes(hashes, words)
+    own, first = np.unique(plain, return_index=True)
+    flags = _holds(common, hashes)
+    usual = np.ones(len(plain), bool)
+    for i in range(min(words, len(hashes))):
+        usual &= flags[i : i + len(plain)]
+    late = usual[first] | _holds(frequent, own)
+    return own, np.concatenate([own[~late], own[late]])
+
+
+class Frequent:
+    """Counters of the most frequent values of a task, of bounded number."""
+
+    def __init__(self, size: int):
+        self.size, self.waiting, self.held = size, [], 0
+        self.values, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def add(self, values: np.ndarray) -> None:
+        self.waiting.append(values)
+        self.held += len(values)
+        if self.held > 1 << 19:
+            self.fold()
+
+    def fold(self) -> None:
+        new, times = np.unique(np.concatenate([*self.waiting, np.empty(0, np.uint64)]), return_counts=True)
+        all_, place = np.unique(np.concatenate([self.values, new]), return_inverse=True)
+        total = np.zeros(len(all_), np.int64)
+        np.add.at(total, place, np.concatenate([self.counts, times]))
+        if len(all_) > self.size:
+            kept = total > np.partition(total, len(all_) - self.size)[len(all_) - self.size]
+            all_, total = all_[kept], total[kept]
+        self.values, self.counts, self.waiting, self.held = all_, total, [], 0
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -110,87 +169,75 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(named(id_col).alias("_id"), named(text_col).cast("string").alias("_text"))
 
 
-def document_classes(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(_id, n_shingles, class) of every row, and the sorted frequent shingles."""
+def document_classes(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(_id, n_shingles, class) of every row, and the sorted frequent shingles and common words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "n_shingles", "class", "token", "rows"]
-        seen, held, rows = [], 0, 0
-        tokens, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-        def fold() -> None:
-            # Counters of the most frequent shingles of the task, of bounded number.
-            nonlocal tokens, counts, seen, held
-            new, times = np.unique(np.concatenate([*seen, np.empty(0, np.uint64)]), return_counts=True)
-            all_, place = np.unique(np.concatenate([tokens, new]), return_inverse=True)
-            total = np.zeros(len(all_), np.int64)
-            np.add.at(total, place, np.concatenate([counts, times]))
-            if len(all_) > FREQUENT:
-                cut = np.partition(total, len(all_) - FREQUENT)[len(all_) - FREQUENT]
-                kept = total > cut
-                all_, total = all_[kept], total[kept]
-            tokens, counts, seen, held = all_, total, [], 0
-
+        names = ["_id", "n_shingles", "class", "token", "rows", "word"]
+        tokens, common, rows = Frequent(FREQUENT), Frequent(4 * COMMON), 0
         for batch in batches:
             sizes, classes = [], []
             for text in batch.column(1):
-                own = shingles(text.as_py(), words)
+                hashes = word_hashes(text.as_py())
+                own = np.unique(_shingle_hashes(hashes, words))
                 sizes.append(len(own))
                 classes.append(class_of(own))
-                seen.append(own)
-                held += len(own)
-                if held > 1 << 19:
-                    fold()
+                tokens.add(own)
+                common.add(hashes)
             rows += len(sizes)
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), none, none], names
-            )
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, none, none, none.cast(pa.bool_())], names)
         if not rows:
             return
-        fold()
-        often = counts >= max(3, rows * FREQUENT_SHARE / 4)
-        none = pa.nulls(int(often.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.nulls(len(none), batch.column(0).type),
-                none,
-                none,
-                pa.array(tokens[often].view(np.int64)),
-                pa.array(counts[often]),
-            ],
-            names,
-        )
+        for kept, least, is_word in ((tokens, max(3, rows * FREQUENT_SHARE / 4), False), (common, 1, True)):
+            kept.fold()
+            often = kept.counts >= least
+            none = pa.nulls(int(often.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.nulls(len(none), batch.column(0).type),
+                    none,
+                    none,
+                    pa.array(kept.values[often].view(np.int64)),
+                    pa.array(kept.counts[often]),
+                    pa.array([is_word] * len(none), pa.bool_()),
+                ],
+                names,
+            )
 
     kind = T.StructType(
-        [texts.schema["_id"], *[T.StructField(n, T.LongType()) for n in ("n_shingles", "class", "token", "rows")]]
+        [
+            texts.schema["_id"],
+            *[T.StructField(n, T.LongType()) for n in ("n_shingles", "class", "token", "rows")],
+            T.StructField("word", T.BooleanType()),
+        ]
     )
     found = stage(texts.mapInArrow(run, kind), "classes")
     rows = found.filter("class IS NOT NULL").select("_id", "n_shingles", "class")
     total = rows.count()
-    often = (
-        found.filter("token IS NOT NULL")
-        .groupBy("token")
-        .agg(F.sum("rows").alias("rows"))
-        .filter(F.col("rows") >= max(8, total * FREQUENT_SHARE))
-        .orderBy(F.desc("rows"), "token")
-        .limit(FREQUENT)
-        .select("token")
-        .collect()
-    )
-    return rows, np.sort(np.array([r.token for r in often], np.int64).view(np.uint64))
+    counts = found.filter("token IS NOT NULL").groupBy("word", "token").agg(F.sum("rows").alias("rows"))
+
+    def first(of: DataFrame, most: int) -> np.ndarray:
+        chosen = of.orderBy(F.desc("rows"), "token").limit(most).select("token").collect()
+        return np.sort(np.array([r.token for r in chosen], np.int64).view(np.uint64))
 
+    frequent = counts.filter(~F.col("word") & (F.col("rows") >= max(8, total * FREQUENT_SHARE)))
+    return rows, first(frequent, FREQUENT), first(counts.filter("word"), COMMON)
 
-def prefix_rows(texts: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+
+def prefix_rows(
+    texts: DataFrame, frequent: np.ndarray, common: np.ndarray, words: int, percent: int
+) -> DataFrame:
     """(token, class, small): the first shingles of every set; ``small`` marks those of the shorter prefix."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    shared = texts.sparkSession.sparkContext.broadcast((frequent, common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, known = shared.value, set()
+        known = set()
         for batch in batches:
             tokens, owners, small = [], [], []
             for text in batch.column(0):
-                own = shingles(text.as_py(), words)
+                own, ordered = ordered_shingles(text.as_py(), words, *shared.value)
                 name = class_of(own)
                 if not len(own) or name in known:
                     continue
@@ -198,11 +245,7 @@ def prefix_rows(texts: DataFrame, frequent: np.ndarray, words: int, percent: int
                     known.clear()
                 known.add(name)
                 longer, shorter = prefix_lengths(len(own), percent)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                    late = often[at] == own
-                    own = np.concatenate([own[~late], own[late]])
-                tokens.append(own[:longer])
+                tokens.append(ordered[:longer])
                 owners.append(np.full(longer, name, np.int64))
                 small.append(np.arange(longer) < shorter)
             if tokens:
@@ -237,9 +280,10 @@ def open_rows(rows: DataFrame) -> DataFrame:
 def class_rows(texts: DataFrame, wanted: DataFrame, words: int, form: str) -> DataFrame:
     """(class, n, data) of the classes in ``wanted`` (class, _id), read from the texts of their ids.
 
-    ``form`` is "tokens" for the set itself or "signature" for its hashed bitmap.
+    ``form`` is "tokens" for the set itself, "signature" for its hashed bitmap or
+    "outline" for one of a quarter of that width.
     """
-    pack = {"tokens": lambda own: own.tobytes(), "signature": signature}[form]
+    pack = {"tokens": lambda own: own.tobytes(), "signature": signature, "outline": lambda own: signature(own, 1)}[form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -486,12 +530,12 @@ def similarity_components(
     of ``words``-word shingles. Ids are integers.
     """
     texts = _texts(docs, id_col, text_col)
-    rows, frequent = document_classes(texts, words)
+    rows, frequent, common = document_classes(texts, words)
     # Rows without an id have no place in the graph but in their class.
     classes = stage(
         rows.filter("n_shingles > 0").groupBy("class").agg(F.min("_id").cast("long").alias("comp")), "class-ids"
     )
-    opened = open_rows(prefix_rows(texts, frequent, words, percent))
+    opened = open_rows(prefix_rows(texts, frequent, common, words, percent))
     named_classes = classes.filter("comp IS NOT NULL")
     kind = docs.schema[id_col].dataType
 
@@ -499,8 +543,10 @@ def similarity_components(
         found = named_classes.join(rows.select("class").distinct(), "class", "left_semi")
         return stage(found.withColumn("_id", F.col("comp").cast(kind)), "wanted")
 
-    signatures = class_rows(texts, wanted(opened), words, "signature")
-    opened = possible_rows(opened.join(signatures.select("class"), "class", "left_semi"), signatures, percent, sift_tokens)
+    # Outlines are short and drop unrelated texts, signatures drop most of what is left.
+    for form in ("outline", "signature"):
+        bits = class_rows(texts, wanted(opened), words, form)
+        opened = possible_rows(opened.join(bits.select("class"), "class", "left_semi"), bits, percent, sift_tokens)
     groups = wanted(opened)
     sets = class_rows(texts, groups, words, "tokens")
     linked = linked_classes(opened, sets, groups.select("class", "comp"), percent, unit_tokens)

@@ -108,9 +108,9 @@ def similar_pairs(sets: list[np.ndarray], groups: np.ndarray, percent: int) -> t
     return order[a], order[b]
 
 
-def signature(tokens: np.ndarray) -> bytes:
-    """Hashed bitmap of a set, of four to eight bits per token."""
-    width = max(64, 1 << int(4 * len(tokens)).bit_length())
+def signature(tokens: np.ndarray, per_token: int = 4) -> bytes:
+    """Hashed bitmap of a set, of ``per_token`` to twice as many bits per token."""
+    width = max(64, 1 << int(per_token * len(tokens)).bit_length())
     out = np.zeros(width >> 3, np.uint8)
     at = (tokens & np.uint64(width - 1)).astype(np.int64)
     np.bitwise_or.at(out, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
