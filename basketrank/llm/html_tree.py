@@ -3,7 +3,8 @@
 An element is ``[label, children]`` and a text a string with its character
 references decoded. Labels are tag names, followed by ``!`` and a role when the
 tag, class, id or role attribute tells one, so there are few of them. Missing end
-tags are supplied as browsers do for paragraphs, list items and table cells.
+tags are supplied as browsers do for paragraphs, list items and table cells. Elements
+nest as deep as the page has them.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ CLOSES = {
 }
 #: An implied end does not reach beyond these.
 WALLS = frozenset("article aside blockquote body div footer form header html main nav ol section table td th ul dl".split())
-MAX_DEPTH = 100
 
 BOILERPLATE_TAGS = frozenset("nav footer aside form button dialog menu head".split())
 # Words of class, id and role attributes and the role they give.
@@ -85,6 +85,8 @@ def parse(page: str) -> list:
     """The root element of a page, labelled ``/``."""
     root = ["/", []]
     stack, tags = [root], ["/"]
+    # Depths of the open elements of a tag, outermost first.
+    opened: dict[str, list[int]] = {}
     at, labels = 0, {}
 
     def text(end: int) -> None:
@@ -99,12 +101,18 @@ def parse(page: str) -> list:
                 children.append(piece)
 
     def close(wanted: set[str], walls: frozenset) -> None:
-        for depth in range(len(tags) - 1, 0, -1):
-            if tags[depth] in wanted:
-                del stack[depth:], tags[depth:]
-                return
-            if tags[depth] in walls:
+        depth = 0
+        for tag in wanted:
+            if (found := opened.get(tag)) and found[-1] > depth:
+                depth = found[-1]
+        if not depth:
+            return
+        for tag in walls:
+            if (found := opened.get(tag)) and found[-1] > depth:
                 return
+        for tag in tags[depth:]:
+            opened[tag].pop()
+        del stack[depth:], tags[depth:]
 
     search = _TOKEN.search
     while m := search(page, at):
@@ -115,8 +123,7 @@ def parse(page: str) -> list:
             continue
         tag = tag.lower()
         if m["end"] or m["end2"]:
-            if tag in tags:
-                close({tag}, frozenset())
+            close({tag}, frozenset())
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if tag in RAW:
@@ -132,7 +139,8 @@ def parse(page: str) -> list:
         label = labels.get(key) or labels.setdefault(key, label_of(tag, attrs))
         node = [label, []]
         stack[-1][1].append(node)
-        if tag not in VOID and not attrs.endswith("/") and len(stack) < MAX_DEPTH:
+        if tag not in VOID and not attrs.endswith("/"):
+            opened.setdefault(tag, []).append(len(stack))
             stack.append(node)
             tags.append(tag)
     text(len(page))

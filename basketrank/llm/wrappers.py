@@ -9,7 +9,8 @@ page and is aligned with page after page:
 * what only one side has becomes an optional group.
 
 Tags are balanced first (``html_tree``), so the expression is kept as nested
-elements, written as JSON. Every task folds its pages into one wrapper per host; wrappers
+elements, written as JSON with one item after another. Elements may nest to any
+depth: steps over them run on a stack of their own. Every task folds its pages into one wrapper per host; wrappers
 are then aligned with each other like pages, in two steps, each streaming over
 sorted rows, so a host with a third of all pages stays small everywhere. The work
 covers all pages.
@@ -28,7 +29,7 @@ by row; other columns are not read.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -66,8 +67,27 @@ def _constant(text: str) -> str:
     return text if len(text) <= LONG_TEXT else f"~{len(text)}~{xxhash.xxh3_128_hexdigest(text.encode())}"
 
 
-def wrap(node: list, linked: bool = False) -> list:
+def unroll(call: Generator):
+    """The result of a generator that yields its recursive calls, at any depth."""
+    calls, value = [call], None
+    while calls:
+        try:
+            call = calls[-1].send(value)
+        except StopIteration as done:
+            calls.pop()
+            value = done.value
+        else:
+            calls.append(call)
+            value = None
+    return value
+
+
+def wrap(node: list) -> list:
     """The wrapper of one element of one page."""
+    return unroll(_wrap(node, False))
+
+
+def _wrap(node: list, linked: bool) -> Generator:
     linked = linked or node[0].split("!")[0] == "a"
     items = []
     for child in node[1]:
@@ -76,15 +96,15 @@ def wrap(node: list, linked: bool = False) -> list:
             if text:
                 items.append(["#", "1", _constant(text), len(text), len(text) if linked else 0, []])
         else:
-            items.append(wrap(child, linked))
-    return _node(node[0], "1", fold(items))
+            items.append((yield _wrap(child, linked)))
+    return _node(node[0], "1", (yield _fold(items)) if len(items) > 1 else items)
 
 
 def _node(label: str, kind: str, items: list) -> list:
     return [label, kind, None, sum(i[CHARS] for i in items), sum(i[LINKS] for i in items), items]
 
 
-def fold(items: list) -> list:
+def _fold(items: list) -> Generator:
     """Neighbouring repetitions as repeated groups, short groups first."""
     for size in range(1, GROUP + 1):
         if len(items) < 2 * size:
@@ -97,7 +117,7 @@ def fold(items: list) -> list:
                 again = len(items) + 1
             while labels[at : at + size] == labels[again : again + size] and len(labels[again : again + size]) == size:
                 for k in range(size):
-                    items[at + k] = align(items[at + k], items[again + k])
+                    items[at + k] = yield _align(items[at + k], items[again + k])
                 again += size
             if again <= len(items) and again > at + size:
                 for k in range(size):
@@ -112,7 +132,7 @@ def fold(items: list) -> list:
         first: dict[str, list] = {}
         for item in items:
             old = first.get(item[LABEL])
-            first[item[LABEL]] = align(old, item) if old else item
+            first[item[LABEL]] = (yield _align(old, item)) if old else item
         items = list(first.values())
         for item in items:
             item[KIND] = "+"
@@ -121,21 +141,28 @@ def fold(items: list) -> list:
 
 def align(a: list, b: list) -> list:
     """The wrapper of what ``a`` and ``b``, of one label, describe."""
+    return unroll(_align(a, b))
+
+
+def _align(a: list, b: list) -> Generator:
     kind = "+" if "+" in (a[KIND], b[KIND]) else "?" if "?" in (a[KIND], b[KIND]) else "1"
     if a[LABEL] == "#":
         text = a[TEXT] if a[TEXT] == b[TEXT] else None
         return ["#", kind, text, a[CHARS] + b[CHARS], a[LINKS] + b[LINKS], []]
-    items = _align_items(a[ITEMS], b[ITEMS])
+    items = yield _align_items(a[ITEMS], b[ITEMS])
     if [i[LABEL] for i in items] != [i[LABEL] for i in a[ITEMS]]:
-        items = fold(items)
+        items = yield _fold(items)
     return _node(a[LABEL], kind, items)
 
 
-def _align_items(a: list, b: list) -> list:
+def _align_items(a: list, b: list) -> Generator:
     """Items of both in an order that keeps both orders; unmatched ones are optional."""
     la, lb = [i[LABEL] for i in a], [i[LABEL] for i in b]
     if la == lb:
-        return [align(x, y) for x, y in zip(a, b)]
+        out = []
+        for x, y in zip(a, b):
+            out.append((yield _align(x, y)))
+        return out
     # Longest common subsequence of labels.
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -150,7 +177,7 @@ def _align_items(a: list, b: list) -> list:
 
     while i < len(a) or j < len(b):
         if i < len(a) and j < len(b) and la[i] == lb[j]:
-            out.append(align(a[i], b[j]))
+            out.append((yield _align(a[i], b[j])))
             i, j = i + 1, j + 1
         elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
             lone(a[i])
@@ -166,26 +193,39 @@ def _furniture(label: str, inside: bool) -> bool:
     return role in ("comment", "ad", "furniture") or tag in BOILERPLATE_TAGS or tag == "header" and not inside
 
 
-def _find(item: list, wanted, path: tuple[int, ...] = ()) -> list[tuple[int, ...]]:
-    """Paths of the outermost items that ``wanted`` accepts, outside furniture."""
-    out = []
-    for i, child in enumerate(item[ITEMS]):
-        if child[LABEL] == "#" or _furniture(child[LABEL], False):
-            continue
-        here = (*path, i)
-        out += [here] if wanted(child) else _find(child, wanted, here)
+def _find(wrapper: list, wanted) -> list[list]:
+    """The outermost items that ``wanted`` accepts, outside furniture."""
+    out, todo = [], [wrapper]
+    while todo:
+        for child in todo.pop()[ITEMS]:
+            if child[LABEL] != "#" and not _furniture(child[LABEL], False):
+                (out if wanted(child) else todo).append(child)
     return out
 
 
-def _plain(item: list) -> int:
-    """Characters of slots outside links and furniture."""
-    if item[LABEL] == "#":
-        return item[CHARS] - item[LINKS] if item[TEXT] is None else 0
-    return sum(_plain(i) for i in item[ITEMS] if i[LABEL] == "#" or not _furniture(i[LABEL], False))
+def _inner_first(wrapper: list) -> Iterator[list]:
+    """All items, every one after those below it."""
+    order = [wrapper]
+    for item in order:
+        order += item[ITEMS]
+    return reversed(order)
 
 
-def regions(wrapper: list) -> tuple[bool, list[tuple[int, ...]]]:
-    """Whether the article region carries a label, and the paths of the region's elements."""
+def _plain(wrapper: list) -> dict[int, int]:
+    """Characters of slots outside links and furniture, by the id of an item."""
+    out: dict[int, int] = {}
+    for item in _inner_first(wrapper):
+        if item[LABEL] == "#":
+            out[id(item)] = item[CHARS] - item[LINKS] if item[TEXT] is None else 0
+        else:
+            out[id(item)] = sum(
+                out[id(i)] for i in item[ITEMS] if i[LABEL] == "#" or not _furniture(i[LABEL], False)
+            )
+    return out
+
+
+def regions(wrapper: list, plain: dict[int, int]) -> tuple[bool, list[list]]:
+    """Whether the article region carries a label, and the region's elements."""
     for wanted in (
         lambda i: i[LABEL].split("!")[0] == "article" and i[CHARS],
         lambda i: i[LABEL].split("!")[0] == "main" and i[CHARS],
@@ -193,20 +233,26 @@ def regions(wrapper: list) -> tuple[bool, list[tuple[int, ...]]]:
     ):
         if found := _find(wrapper, wanted):
             return True, found
-    path, item = (), wrapper
+    item = wrapper
     while True:
-        total = _plain(item)
-        inner = [(_plain(c), i) for i, c in enumerate(item[ITEMS]) if c[LABEL] != "#" and not _furniture(c[LABEL], False)]
+        total = plain[id(item)]
+        inner = [
+            (plain[id(c)], i) for i, c in enumerate(item[ITEMS]) if c[LABEL] != "#" and not _furniture(c[LABEL], False)
+        ]
         most, at = max(inner, default=(0, 0))
         child = item[ITEMS][at] if inner else None
         if not most or most < REGION_SHARE * total or child[KIND] == "+" or child[LABEL] in ("p", "br"):
-            return False, [path]
-        path, item = (*path, at), child
+            return False, [item]
+        item = child
 
 
-def _slots(item: list) -> bool:
-    """Whether any text below differs between pages."""
-    return item[TEXT] is None if item[LABEL] == "#" else any(map(_slots, item[ITEMS]))
+def _slots(wrapper: list) -> set[int]:
+    """Ids of the items in which any text differs between pages."""
+    out: set[int] = set()
+    for item in _inner_first(wrapper):
+        if item[TEXT] is None if item[LABEL] == "#" else any(id(i) in out for i in item[ITEMS]):
+            out.add(id(item))
+    return out
 
 
 def _link_block(item: list) -> bool:
@@ -218,15 +264,17 @@ class Reader:
 
     def __init__(self, wrapper: list):
         self.wrapper = wrapper
-        self.labelled, paths = regions(wrapper)
-        self.paths = set(paths)
-        self.has_slots = _plain(wrapper) > 0
+        plain = _plain(wrapper)
+        self.labelled, found = regions(wrapper, plain)
+        self.regions = {id(item) for item in found}
+        self.has_slots = plain[id(wrapper)] > 0
+        self.slots = set() if self.labelled else _slots(wrapper)
 
     def text(self, page: list) -> str:
         self.blocks: list[str] = []
         self.open = ""
-        self.reached = () in self.paths
-        self._walk(page, self.wrapper, (), self.reached)
+        self.reached = id(self.wrapper) in self.regions
+        unroll(self._walk(page, self.wrapper, self.reached))
         self._end()
         return " ".join(self.blocks)
 
@@ -235,8 +283,8 @@ class Reader:
             self.blocks.append(block)
         self.open = ""
 
-    def _walk(self, node: list, item: list | None, path: tuple[int, ...] | None, inside: bool) -> None:
-        """Collect the texts of ``node``, described by ``item`` at ``path`` of the wrapper."""
+    def _walk(self, node: list, item: list | None, inside: bool) -> Generator:
+        """Collect the texts of ``node``, described by ``item`` of the wrapper."""
         items = item[ITEMS] if item else []
         at = 0
         for child in node[1]:
@@ -259,14 +307,13 @@ class Reader:
                     self.open += child
                 continue
             tag = label.split("!")[0]
-            here = None if path is None or found is None else (*path, found)
-            within = inside or here in self.paths
+            within = inside or known is not None and id(known) in self.regions
             self.reached |= within
             if _furniture(label, within and self.labelled):
                 self._end()
                 continue
             if within and not self.labelled and known is not None and tag not in INLINE:
-                fixed = self.has_slots and known[KIND] != "+" and known[CHARS] and not _slots(known)
+                fixed = self.has_slots and known[KIND] != "+" and known[CHARS] and id(known) not in self.slots
                 if fixed or _link_block(known):
                     self._end()
                     continue
@@ -274,14 +321,14 @@ class Reader:
             if not inline:
                 self._end()
             if tag not in VOID:
-                self._walk(child, known, here, within)
+                yield self._walk(child, known, within)
             if not inline:
                 self._end()
 
 
 @lru_cache(maxsize=4096)
 def reader(wrapper: str) -> Reader:
-    return Reader(json.loads(wrapper))
+    return Reader(_load(wrapper))
 
 
 def main_text(page: str | None, wrapper: str) -> str:
@@ -303,7 +350,24 @@ def host_of(url):
 
 
 def _dump(wrapper: list) -> str:
-    return json.dumps(wrapper, ensure_ascii=False, separators=(",", ":"))
+    """JSON list of the fields of all items, outer ones first, the last field the number of items below."""
+    out, todo = [], [wrapper]
+    while todo:
+        item = todo.pop()
+        out += [*item[:ITEMS], len(item[ITEMS])]
+        todo += reversed(item[ITEMS])
+    return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+
+
+def _load(text: str) -> list:
+    fields, done = json.loads(text), []
+    width = ITEMS + 1
+    for at in range(len(fields) - width, -1, -width):
+        *own, n = fields[at : at + width]
+        items = done[len(done) - n :][::-1]
+        del done[len(done) - n :]
+        done.append([*own, items])
+    return done[0]
 
 
 def learn_wrappers(pages: DataFrame) -> DataFrame:
@@ -339,9 +403,9 @@ def learn_wrappers(pages: DataFrame) -> DataFrame:
                 if name != host:
                     if host is not None:
                         yield row()
-                    host, wrapper = name, json.loads(text)
+                    host, wrapper = name, _load(text)
                 else:
-                    wrapper = align(wrapper, json.loads(text))
+                    wrapper = align(wrapper, _load(text))
         if host is not None:
             yield row()
 

@@ -260,6 +260,17 @@ def test_main_text_of_generated_pages(spark, small):
         assert r.text == " ".join(plain.split())
 
 
+def test_deep_nesting_loses_and_leaks_nothing():
+    deep = lambda n, inner="": "<div>" * n + inner + "</div>" * n
+    page = "<body><div><article><p>Before {0}</p>" + deep(150) + "<p>After {0}</p></article></div></body>"
+    menu = "<body><article><p>Text {0}</p>" + deep(150, "<nav>menu</nav><p>inner {0}</p>") + "<p>End</p></article></body>"
+    huge = "<body><article>" + deep(50_000, "<p>core {0}</p><form>f</form>") + "<p>End {0}</p></article>" + "<b>" * 50_000
+    for form, want in ((page, "Before {0} After {0}"), (menu, "Text {0} inner {0} End"), (huge, "core {0} End {0}")):
+        pages = [form.format(i) for i in range(2)]
+        own = wrappers._dump(wrappers.align(*(wrappers.wrap(parse(p)) for p in pages)))
+        assert [wrappers.main_text(p, own) for p in pages] == [want.format(i) for i in range(2)]
+
+
 def test_wrapper_has_slots_options_and_repetitions():
     pages = [
         "<div><h1>a</h1><p>x</p><p>y</p></div>",
