@@ -13,7 +13,8 @@ elements, written as JSON with one item after another. Elements may nest to any
 depth: steps over them run on a stack of their own. Every task folds its pages into one wrapper per host; wrappers
 are then aligned with each other like pages, in two steps, each streaming over
 sorted rows, so a host with a third of all pages stays small everywhere. The work
-covers all pages.
+covers all pages. A wrapper keeps the order of its items at any length: it grows with
+the longest page of a host and the number of labels, not with the number of pages.
 
 A page is read by walking it along its host's wrapper. The wrapper names the
 region of the article: ``article`` elements, else ``main`` or content elements, else the
@@ -29,24 +30,26 @@ by row; other columns are not read.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Generator, Iterator
-from functools import lru_cache
+from math import isqrt
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from basketrank.functions.joins import lookup
+from basketrank.functions.joins import BROADCAST_BYTES, lookup
 from basketrank.functions.staging import stage
 from basketrank.llm.common import named
 from basketrank.llm.html_tree import BOILERPLATE_TAGS, INLINE, VOID, parse
 
 #: Longest group of neighbours that is looked for as a repetition.
 GROUP = 4
-#: Children of an element above which its wrapper keeps one repeated item per label.
-MAX_ITEMS = 64
-#: Hosts that a task folds at a time.
+#: Hosts that a task folds at a time, and characters of their first pages.
 HOSTS = 2000
+HOST_CHARS = 1 << 25
+#: Characters of the wrappers whose readers a task keeps.
+READER_CHARS = 1 << 22
 #: Code points above which a wrapper holds a digest of a constant text.
 LONG_TEXT = 64
 #: Share of the slot text that the region without a label must hold.
@@ -128,14 +131,6 @@ def _fold(items: list) -> Generator:
                 out.append(items[at])
                 at += 1
         items = out
-    if len(items) > MAX_ITEMS:
-        first: dict[str, list] = {}
-        for item in items:
-            old = first.get(item[LABEL])
-            first[item[LABEL]] = (yield _align(old, item)) if old else item
-        items = list(first.values())
-        for item in items:
-            item[KIND] = "+"
     return items
 
 
@@ -155,6 +150,50 @@ def _align(a: list, b: list) -> Generator:
     return _node(a[LABEL], kind, items)
 
 
+def _earlier(a: list[str], b: list[str]):
+    """Whether ``a[i]`` comes before ``b[j]`` when a longest common subsequence is kept, for rising i.
+
+    That is when ``a[i + 1:]`` and ``b[j:]`` have one as long as ``a[i:]`` and
+    ``b[j + 1:]``. A row has a bit for each place of ``b``, the last one lowest; its
+    zeros among the lowest k are the length for the last k places (Hyyro). Every
+    ``step``-th row is kept and those between are made again when they are asked for.
+    """
+    whole = (1 << len(b)) - 1
+    places = dict.fromkeys(a, 0)
+    for j, label in enumerate(reversed(b)):
+        if label in places:
+            places[label] |= 1 << j
+
+    def above(row: int, i: int) -> int:
+        hit = row & places[a[i]]
+        return (row + hit | row - hit) & whole
+
+    step = isqrt(len(a)) + 1
+    row, kept = whole, {len(a): whole}
+    for i in range(len(a) - 1, -1, -1):
+        row = above(row, i)
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+
+    def length(i: int, j: int) -> int:
+        if i not in rows:
+            low = i - i % step
+            high = min(low + step, len(a))
+            rows.clear()
+            rows[high] = kept[high]
+            for k in range(high - 1, low - 1, -1):
+                rows[k] = above(rows[k + 1], k)
+        left = len(b) - j
+        return left - (rows[i] & (1 << left) - 1).bit_count()
+
+    def first(i: int, j: int) -> bool:
+        after = length(i, j + 1)
+        return length(i + 1, j) >= after
+
+    return first
+
+
 def _align_items(a: list, b: list) -> Generator:
     """Items of both in an order that keeps both orders; unmatched ones are optional."""
     la, lb = [i[LABEL] for i in a], [i[LABEL] for i in b]
@@ -163,11 +202,7 @@ def _align_items(a: list, b: list) -> Generator:
         for x, y in zip(a, b):
             out.append((yield _align(x, y)))
         return out
-    # Longest common subsequence of labels.
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if la[i] == lb[j] else max(best[i + 1][j], best[i][j + 1])
+    first_of_a = _earlier(la, lb)
     out, i, j = [], 0, 0
 
     def lone(item: list) -> None:
@@ -179,7 +214,7 @@ def _align_items(a: list, b: list) -> Generator:
         if i < len(a) and j < len(b) and la[i] == lb[j]:
             out.append((yield _align(a[i], b[j])))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
+        elif j == len(b) or i < len(a) and first_of_a(i, j):
             lone(a[i])
             i += 1
         else:
@@ -269,6 +304,7 @@ class Reader:
         self.regions = {id(item) for item in found}
         self.has_slots = plain[id(wrapper)] > 0
         self.slots = set() if self.labelled else _slots(wrapper)
+        self.places: dict[int, dict[str, list[int]]] = {}
 
     def text(self, page: list) -> str:
         self.blocks: list[str] = []
@@ -283,9 +319,18 @@ class Reader:
             self.blocks.append(block)
         self.open = ""
 
+    def _places(self, item: list) -> dict[str, list[int]]:
+        """Where the items below have a label."""
+        if (found := self.places.get(id(item))) is None:
+            found = self.places[id(item)] = {}
+            for k, below in enumerate(item[ITEMS]):
+                found.setdefault(below[LABEL], []).append(k)
+        return found
+
     def _walk(self, node: list, item: list | None, inside: bool) -> Generator:
         """Collect the texts of ``node``, described by ``item`` of the wrapper."""
         items = item[ITEMS] if item else []
+        places = self._places(item) if items else {}
         at = 0
         for child in node[1]:
             label = "#" if isinstance(child, str) else child[0]
@@ -294,13 +339,12 @@ class Reader:
                     self.open += " "
                 continue
             # The next item with this label; a repeated one may serve again.
-            found = next((k for k in range(at, len(items)) if items[k][LABEL] == label), None)
-            if found is None:
-                found = next((k for k in range(at - 1, -1, -1) if items[k][LABEL] == label), None)
-            elif items[found][KIND] != "+":
-                at = found + 1
-            else:
-                at = found
+            found = None
+            if own := places.get(label):
+                k = bisect_left(own, at)
+                found = own[min(k, len(own) - 1)]
+                if k < len(own):
+                    at = found if items[found][KIND] == "+" else found + 1
             known = None if found is None else items[found]
             if label == "#":
                 if inside:
@@ -326,9 +370,17 @@ class Reader:
                 self._end()
 
 
-@lru_cache(maxsize=4096)
+_READERS: dict[str, Reader] = {}
+
+
 def reader(wrapper: str) -> Reader:
-    return Reader(_load(wrapper))
+    """The reader of a wrapper; all kept ones go when they become too many."""
+    found = _READERS.get(wrapper)
+    if found is None:
+        if len(wrapper) + sum(map(len, _READERS)) > READER_CHARS:
+            _READERS.clear()
+        found = _READERS[wrapper] = Reader(_load(wrapper))
+    return found
 
 
 def main_text(page: str | None, wrapper: str) -> str:
@@ -375,6 +427,7 @@ def learn_wrappers(pages: DataFrame) -> DataFrame:
 
     def from_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
+        held = 0
 
         def out() -> pa.RecordBatch:
             rows = [(h, _dump(w)) for h, w in known.items()]
@@ -389,7 +442,9 @@ def learn_wrappers(pages: DataFrame) -> DataFrame:
                 own = wrap(parse(page))
                 old = known.get(host)
                 known[host] = align(old, own) if old else own
-                if len(known) >= HOSTS:
+                held += 0 if old else len(page)
+                if len(known) >= HOSTS or held >= HOST_CHARS:
+                    held = 0
                     yield out()
         yield out()
 
@@ -437,8 +492,8 @@ def extract(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                main_text(page.as_py(), wrapper) if wrapper else ""
-                for page, wrapper in zip(batch.column(2), batch.column(3).to_pylist())
+                main_text(page.as_py(), along) if (along := wrapper.as_py()) else ""
+                for page, wrapper in zip(batch.column(2), batch.column(3))
             ]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -450,7 +505,8 @@ def extract(
                 ["_id", "_url", "text", "n_chars"],
             )
 
-    joined = lookup(rows, wrappers, "host", row_bytes=8192, spread="_id").select("_id", "_url", "html", "wrapper")
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64)).first()[0] or 0
+    joined = lookup(rows, wrappers, "host", spread="_id", fits=size <= BROADCAST_BYTES).select("_id", "_url", "html", "wrapper")
     kind = T.StructType(
         [rows.schema["_id"], rows.schema["_url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     )

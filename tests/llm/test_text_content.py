@@ -271,6 +271,45 @@ def test_deep_nesting_loses_and_leaks_nothing():
         assert [wrappers.main_text(p, own) for p in pages] == [want.format(i) for i in range(2)]
 
 
+def test_texts_do_not_depend_on_the_number_of_blocks():
+    kinds = ("p", "h2", "pre", "blockquote", "table", "figure")
+    links = "<ul>" + "<li><a href=x>other page</a></li>" * 3 + "</ul>"
+    for n in (8, 40, 60, 61, 120, 300):
+        pages = []
+        for i in range(3):
+            blocks = [(k, f"<{kinds[k % 6]}>block {k} of {i}</{kinds[k % 6]}>", f"block {k} of {i}") for k in range(n)]
+            more = [
+                (2, "<section>Always the same words</section>", ""),
+                (3, f"<ul><li>first {i}</li><li>second {i}</li></ul>", f"first {i} second {i}"),
+                (5, links, ""),
+                (6, f"<section>words of {i}</section>", f"words of {i}"),
+            ]
+            rows = sorted(blocks + more, key=lambda row: row[0])
+            html, texts = "".join(r[1] for r in rows), " ".join(r[2] for r in rows if r[2])
+            pages.append((f"<body>{html}</body>", texts))
+        own = wrappers.wrap(parse(pages[0][0]))
+        for page, _ in pages[1:]:
+            own = wrappers.align(own, wrappers.wrap(parse(page)))
+        for page, want in pages:
+            assert wrappers.main_text(page, wrappers._dump(own)) == want, n
+
+
+def test_alignment_equals_the_plain_table():
+    import random
+
+    draw = random.Random(5)
+    for _ in range(300):
+        a, b = ([draw.choice("abcd") for _ in range(draw.randint(0, 30))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        first = wrappers._earlier(a, b)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                assert first(i, j) == (best[i + 1][j] >= best[i][j + 1])
+
+
 def test_wrapper_has_slots_options_and_repetitions():
     pages = [
         "<div><h1>a</h1><p>x</p><p>y</p></div>",
