@@ -155,6 +155,14 @@ def test_tasks_and_blocks_follow_the_rows(spark, small):
     assert fit_tasks(rows, EmbeddingParams(partitions=5)) == 5
 
 
+def test_registered_ranker_has_all_default_trees(spark, small):
+    from basketrank.queries.models import _ranker
+
+    trees = _ranker(spark, small)[0].model.stages[1]
+    assert trees.getNumTrees == trees.getMaxIter() == RankerParams().trees
+    assert trees.getMaxDepth() == RankerParams().max_depth
+
+
 def test_ranker_finds_a_planted_signal(spark):
     df = spark.range(400).selectExpr(
         "cast(id AS int) AS customer_id", "'a' AS item_id", "cast(id % 7 AS double) AS noise",
