@@ -1,7 +1,7 @@
 """WARC archives from a page table and back, through tables of payload chunks.
 
-A payload is never held whole by the code that writes or reads archives. It is a
-run of rows (record, chunk number, bytes of at most ``CHUNK``), and each row read
+A payload is never held whole by the code that writes or reads archives, only by the
+row of the page table that it is cut from, one chunk at a time. It is a run of rows (record, chunk number, bytes of at most ``CHUNK``), and each row read
 back carries the SHA-1 of the payload up to and with its chunk, so the last row
 has the digest of the whole.
 
@@ -101,11 +101,13 @@ def plan_records(
 
 def to_chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Chunk rows of planned records, in order within their task; revisits have one without bytes."""
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("payload_bytes") / chunk).cast("int") - 1, F.lit(0)))
-    parts = F.transform(starts, lambda i: F.substring(F.col("payload"), i * chunk + 1, F.lit(chunk)))
-    stored = F.when(F.col("refers_to").isNull(), parts).otherwise(F.array(F.lit(None).cast("binary")))
-    return records.select(
-        "page_id", "uri", "payload_bytes", "sha1", "refers_to", F.posexplode(stored).alias("chunk_no", "chunk")
+    stored = F.col("refers_to").isNull()
+    last = F.greatest(F.ceil(F.col("payload_bytes") / chunk).cast("int") - 1, F.lit(0))
+    # Only the numbers are exploded; a chunk is cut when its row is made.
+    numbers = F.sequence(F.lit(0), F.when(stored, last).otherwise(F.lit(0)))
+    columns = ["page_id", "uri", "payload_bytes", "sha1", "refers_to"]
+    return records.select(*columns, "payload", F.explode(numbers).alias("chunk_no")).select(
+        *columns, "chunk_no", F.when(stored, F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))).alias("chunk")
     )
 
 

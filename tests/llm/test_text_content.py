@@ -372,6 +372,18 @@ def test_archives_read_back(spark, chunk, least):
     assert b"".join(whole[5]).decode() == PAYLOADS[4][2]
 
 
+def test_chunks_are_cut_one_at_a_time(spark):
+    text = "".join(chr(97 + i % 26) for i in range(1003))
+    pages = spark.createDataFrame([(1, "http://x", text), (2, "http://y", text)], "page_id long, url string, html string")
+    chunks = warc.to_chunks(warc.plan_records(pages, 1), 10)
+    run = chunks._jdf.queryExecution().executedPlan().toString()
+    exploded = [line for line in run.splitlines() if "Generate" in line and "explode(" in line]
+    assert exploded and not any("substr" in line or "transform" in line for line in exploded)
+    found = {(r.page_id, r.chunk_no): r.chunk for r in chunks.collect()}
+    assert len(found) == 102 and found.pop((1, 0)) is None
+    assert b"".join(bytes(found[2, k]) for k in range(101)) == text.encode()
+
+
 def test_damaged_archives_are_found(spark):
     pages = spark.createDataFrame([(1, "http://x", "<p>text</p>")], "page_id long, url string, html string")
     path = warc.write_archives(warc.plan_records(pages)).first().path
