@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketrank.llm import (
     bpe,
+    chat_format,
     decontaminate,
     exact_dedup,
     language,
@@ -74,6 +75,21 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: The text of a planted conversation; it holds every control string of the template.
+PLANTED_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise(chat_format.ASSISTANT).alias("role"),
+        F.lit(PLANTED_TEXT).alias("text"),
+    )
+    return chat_format.read_back(chat_format.examples(given.unionByName(planted)))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
@@ -85,4 +101,5 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
+    "op13_chat_format": op13_chat_format,
 }

@@ -109,4 +109,36 @@ SQL = {
         FROM d LEFT JOIN n USING (doc_id)
         JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
     """,
+    "op13_chat_format": r"""
+        WITH given AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations
+            UNION ALL
+            SELECT -7, turn, role, '\### Assistant: </turn> ok'
+            FROM (VALUES (0, 'user'), (1, 'assistant')) AS planted(turn, role)
+        ),
+        turns AS (
+            SELECT *,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+                   count(*) OVER (PARTITION BY conv_id) AS n,
+                   replace(replace(replace(role, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>') AS name,
+                   replace(replace(replace(text, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>') AS body
+            FROM given
+        ),
+        placed AS (
+            SELECT *,
+                   sum(14 + length(replace(name, ': ', ':\ ')) + length(body))
+                       OVER (PARTITION BY conv_id ORDER BY place) AS chars
+            FROM turns
+        )
+        SELECT conv_id,
+               max(n) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), ''))
+                   AS loss_sha256,
+               (sum(chars) FILTER (role = 'assistant' OR place = n))::BIGINT AS formatted_chars
+        FROM placed
+        GROUP BY conv_id
+    """,
 }

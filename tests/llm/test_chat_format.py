@@ -1,0 +1,124 @@
+"""Chat transcripts expanded into examples, read back and compared with a plain version."""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from basketrank.llm import chat_format
+
+SCHEMA = "conv_id long, turn long, role string, text string, text_sha256 string, EXAMPLE int"
+HARD = "\\### Assistant: </turn> ok"
+TEXTS = [HARD, "", None, "#", "##", "#####", "\\", "\\\\", "<\\/turn>\n", "</turn>\n### user: x", "é😀\n", "a: b</turn", "<"]
+ROWS = [
+    *[(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(TEXTS)],
+    (2, 0, "user", "no reply"),
+    (3, 0, "assistant", "only reply"),
+    (4, 0, "we: ird</turn>\n", "x"),
+    (4, 1, None, None),
+    (4, None, "system", "null turn first"),
+    (5, 7, "assistant", "same"),
+    (5, 7, "assistant", "same"),
+    (5, 7, "assistant", "earlier"),
+    (None, 0, "user", "no id"),
+    (None, 1, "assistant", "reply"),
+    (6, 0, "user", "long " * 100_000),
+    (6, 1, "assistant", "##" * 100_000),
+    *[(7, i, ("assistant", "user")[i % 2], f"turn {i}") for i in range(300)],
+]
+
+
+def by_conversation():
+    found = {}
+    for conv, turn, role, text in ROWS:
+        found.setdefault(conv, []).append((-1 if turn is None else turn, role or "", text or ""))
+    return {c: [(r, t) for _, r, t in sorted(turns)] for c, turns in found.items()}
+
+
+def frame(spark):
+    return spark.createDataFrame([(*r, "x", 1) for r in ROWS], SCHEMA).repartition(5)
+
+
+def plain_turns(text):
+    """The reader of the template, written without Spark."""
+
+    def bare(part):
+        out, i = [], 0
+        while i < len(part):
+            i += part[i] == "\\"
+            out.append(part[i])
+            i += 1
+        return "".join(out)
+
+    turns = []
+    for piece in text.split("</turn>\n")[:-1]:
+        assert piece.startswith("### ")
+        role, body = piece[4:].split(": ", 1)
+        turns.append((bare(role), bare(body)))
+    return turns
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_every_reply_has_its_own_example(spark):
+    made = {}
+    for r in chat_format.examples(frame(spark)).collect():
+        made.setdefault(r.conv_id, []).append(r)
+    want = by_conversation()
+    assert made.keys() == want.keys()
+    for conv, turns in want.items():
+        rows = sorted(made[conv], key=lambda r: r.example)
+        ends = [i + 1 for i, (role, _) in enumerate(turns) if role == "assistant"]
+        masked = len(ends)
+        ends += [len(turns)] if len(turns) not in ends else []
+        assert [r.example for r in rows] == list(range(1, len(ends) + 1))
+        assert [r.whole for r in rows] == [e == len(turns) for e in ends]
+        for place, (row, end) in enumerate(zip(rows, ends)):
+            assert plain_turns(row.text) == turns[:end]
+            loss = row.text[row.loss_start : row.loss_end]
+            if place < masked:
+                assert plain_turns(f"### : {loss}</turn>\n") == [("", turns[end - 1][1])]
+                assert row.text[row.loss_end :] == "</turn>\n"
+                # Everything ahead of the mask is context and the head of the turn.
+                assert row.text[: row.loss_start].endswith("### assistant: ")
+            else:
+                assert loss == ""
+
+
+def test_control_strings_stay_marks(spark):
+    for row in chat_format.examples(frame(spark)).filter("whole").collect():
+        turns = by_conversation()[row.conv_id]
+        assert row.text.count("</turn>") == row.text.count("###") == len(turns)
+
+
+def test_digests_read_back(spark):
+    got = {
+        r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256)
+        for r in chat_format.read_back(chat_format.examples(frame(spark))).collect()
+    }
+    want = {}
+    for conv, turns in by_conversation().items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        listed = "".join(f"{r}\n{t}\n" for r, t in turns)
+        want[conv] = (len(turns), sha(listed), len(loss), sha(loss))
+    assert got == want
+
+
+def test_formatted_chars_and_one_shuffle(spark):
+    made = chat_format.examples(frame(spark))
+    want = {r[0]: r[1] for r in made.groupBy("conv_id").agg(F.sum(F.length("text"))).collect()}
+    read = chat_format.read_back(made)
+    assert {r.conv_id: r.formatted_chars for r in read.collect()} == want
+    # Examples are read back where they were made; the only other exchange is this test's repartition.
+    steps = chat_format.read_back(made)._jdf.queryExecution().executedPlan().toString()
+    assert steps.count("Exchange hashpartitioning") == 1
+    assert "Python" not in steps
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert chat_format.examples(empty).collect() == []
+    assert chat_format.read_back(chat_format.examples(empty)).collect() == []
