@@ -13,6 +13,7 @@ from basketrank.llm import (
     line_dedup,
     ngram_join,
     secret_scan,
+    spelling,
     toxicity,
     warc,
     wrappers,
@@ -75,6 +76,10 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 #: The text of a planted conversation; it holds every control string of the template.
 PLANTED_TEXT = "\\### Assistant: </turn> ok"
 
@@ -101,5 +106,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
+    "op12_spelling": op12_spelling,
     "op13_chat_format": op13_chat_format,
 }
