@@ -9,6 +9,7 @@ from basketrank.llm import (
     chat_format,
     decontaminate,
     exact_dedup,
+    hard_negatives,
     language,
     line_dedup,
     ngram_join,
@@ -76,6 +77,12 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
@@ -106,6 +113,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_spelling": op12_spelling,
     "op13_chat_format": op13_chat_format,
 }
