@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from basketrank.llm.common import named
+from basketrank.llm.common import keeps, named, take_turn
 
 #: A vocabulary of the installed collection.
 TOKENIZER = "byte_bpe_50k.json"
@@ -181,6 +181,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+keeps("bpe", codec.cache_clear)
+
+
 def locate(name: str) -> str:
     """Place of a tokenizer file: a path, or a name in the installed collection."""
     if "/" in name:
@@ -200,6 +203,7 @@ def encode(
     """(id, ids): the token ids of every row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("bpe")
         use = codec(locate(tokenizer))
         for batch in batches:
             ids = [pa.array(use.encode(t or ""), pa.int32()) for t in _column(batch, "_text")]
@@ -215,6 +219,7 @@ def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: s
     """(id, text): the text that every row's ids stand for; null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("bpe")
         use = codec(locate(tokenizer))
         for batch in batches:
             texts = pa.array([use.decode(i or []) for i in _column(batch, "_ids")], pa.string())
@@ -234,6 +239,7 @@ def round_trip(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("bpe")
         use = codec(locate(tokenizer))
         for batch in batches:
             counts, digests, texts = [], [], []

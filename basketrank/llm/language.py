@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from basketrank.functions.joins import lookup
 from basketrank.functions.staging import stage
-from basketrank.llm.common import bucket_of, fresh, named
+from basketrank.llm.common import bucket_of, fresh, named, take_turn
 
 #: Labelled rows per language that profiles are fitted on, all when there are fewer.
 SAMPLE = 1000
@@ -77,6 +77,7 @@ def learn_profiles(
     chosen = lookup(rows, shares, "_lang", "inner", row_bytes=64, spread="_id").filter(draw)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("language")
         found: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -187,6 +188,7 @@ def add_language(
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("language")
         ranker = Ranker(profiles)
         for batch in batches:
             found = [ranker.predict(t.as_py()) for t in batch.column(at)]

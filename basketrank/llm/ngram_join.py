@@ -42,9 +42,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from basketrank.functions.joins import lookup
 from basketrank.functions.staging import stage
-from basketrank.llm.common import fresh, named
+from basketrank.llm.common import fresh, keeps, named, take_turn
 from basketrank.llm.components import smallest_reachable
-from basketrank.llm.signature_tree import needed, possible_pairs, signature, similar_pairs
+from basketrank.llm.signature_tree import linked, needed, possible_pairs, signature
 
 WORDS = 5
 PERCENT = 80
@@ -73,6 +73,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+keeps("shingles", _HASHES.clear)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -174,6 +175,7 @@ def document_classes(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_id", "n_shingles", "class", "token", "rows", "word"]
+        take_turn("shingles")
         tokens, common, rows = Frequent(FREQUENT), Frequent(4 * COMMON), 0
         for batch in batches:
             sizes, classes = [], []
@@ -233,6 +235,7 @@ def prefix_rows(
     shared = texts.sparkSession.sparkContext.broadcast((frequent, common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("shingles")
         known = set()
         for batch in batches:
             tokens, owners, small = [], [], []
@@ -286,6 +289,7 @@ def class_rows(texts: DataFrame, wanted: DataFrame, words: int, form: str) -> Da
     pack = {"tokens": lambda own: own.tobytes(), "signature": signature, "outline": lambda own: signature(own, 1)}[form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("shingles")
         for batch in batches:
             rows = []
             for text, name in zip(batch.column(0), batch.column(1).to_pylist()):
@@ -313,6 +317,7 @@ def _grouped(
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("units")
         key, data, values, found = None, [], [], []
 
         def out() -> pa.RecordBatch:
@@ -352,18 +357,8 @@ def _link_units(rows: DataFrame, percent: int) -> DataFrame:
         names, numbers = np.unique(np.array([v[0] for v in values], np.int64), return_inverse=True)
         if len(names) < 2:
             return []
-        a, b = similar_pairs([np.frombuffer(d, np.uint64) for d in data], numbers, percent)
-        root = list(range(len(names)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for x, y in np.unique(np.sort(np.stack([numbers[a], numbers[b]], axis=1), axis=1), axis=0).tolist():
-            x, y = sorted((find(x), find(y)))
-            root[y] = x
-        return [(int(names[find(x)]), int(names[x])) for x in range(len(names)) if find(x) != x]
+        root = linked([np.frombuffer(d, np.uint64) for d in data], numbers, percent)
+        return [(int(names[r]), int(names[x])) for x, r in enumerate(root.tolist()) if r != x]
 
     return _grouped(rows, links, ["comp"], "a long, b long").distinct()
 

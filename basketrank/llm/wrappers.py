@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from basketrank.functions.joins import BROADCAST_BYTES, lookup
 from basketrank.functions.staging import stage
-from basketrank.llm.common import named
+from basketrank.llm.common import keeps, named
 from basketrank.llm.html_tree import BOILERPLATE_TAGS, INLINE, VOID, parse
 
 #: Longest group of neighbours that is looked for as a repetition.
@@ -371,6 +371,7 @@ class Reader:
 
 
 _READERS: dict[str, Reader] = {}
+keeps("wrappers", _READERS.clear)
 
 
 def reader(wrapper: str) -> Reader:
