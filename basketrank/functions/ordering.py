@@ -78,32 +78,30 @@ _BUCKET_DIGITS = 4
 def hash_take(df: DataFrame, keys: list[str], n: int | Column, seed: int = 42) -> DataFrame:
     """Exactly the ``n`` rows with the smallest seeded hash of their unique ``keys``.
 
-    A repeatable sample without replacement. Rows are counted per hash bucket;
-    buckets before the cut are kept as they are, and only the one bucket the cut
-    falls into is sorted, about 1/65,536 of the rows. ``df`` is read three
-    times, so stage it when it is costly.
+    A repeatable sample without replacement: all rows up to the n-th smallest hash.
+    That hash is found before, from the keys alone: rows are counted per hash
+    bucket, and only the bucket it lies in is sorted, about 1/65,536 of the rows.
+    The sample itself is one filter on one scan, and nothing of it is shuffled.
+    ``df`` is read three times, twice for its keys: stage it when it is costly.
     """
-    wanted = F.lit(n) if isinstance(n, int) else n
-    hashed = df.withColumn("_hash", seeded_hash(keys, seed)).withColumn(
-        "_bucket", F.substring("_hash", 1, _BUCKET_DIGITS)
-    )
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        hashed.groupBy("_bucket")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .withColumn("_open", wanted - F.col("_before"))
-        .filter(F.col("_open") > 0)
-    )
-    # At most 65,536 rows each, hence the broadcasts.
-    whole = buckets.filter(F.col("_rows") <= F.col("_open")).select("_bucket")
-    edge = buckets.filter(F.col("_rows") > F.col("_open")).select("_bucket", "_open")
-    kept = hashed.join(F.broadcast(whole), "_bucket", "left_semi").select(*df.columns)
-    within = Window.partitionBy("_bucket").orderBy("_hash", *keys)
-    cut = (
-        hashed.join(F.broadcast(edge), "_bucket")
-        .withColumn("_pos", F.row_number().over(within))
-        .filter(F.col("_pos") <= F.col("_open"))
-        .select(*df.columns)
-    )
-    return kept.unionByName(cut)
+    hashed = df.withColumn("_hash", seeded_hash(keys, seed))
+    bucket = F.substring("_hash", 1, _BUCKET_DIGITS)
+    # 65,536 rows at most.
+    counts = hashed.groupBy(bucket.alias("bucket")).count()
+    if not isinstance(n, int):
+        n = df.sparkSession.range(1).select(n).first()[0] or 0
+    left, edge = n, None
+    for row in sorted(counts.collect()):
+        if row["count"] > left:
+            edge = row["bucket"]
+            break
+        left -= row["count"]
+    if edge is None:
+        return df
+    if left <= 0:
+        # Everything before the bucket, nothing in it.
+        cut = edge
+        return hashed.filter(F.col("_hash") < cut).drop("_hash")
+    inside = hashed.filter(bucket == edge).select("_hash").orderBy("_hash").limit(left)
+    cut = inside.agg(F.max("_hash")).first()[0]
+    return hashed.filter(F.col("_hash") <= cut).drop("_hash")

@@ -8,7 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -49,6 +53,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def read_batches(files: list[str], columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """Read Parquet files inside a task, at most ``rows`` rows at a time.
+
+    ``files`` are the addresses that ``DataFrame.inputFiles`` gives for a staged
+    table. ``pyarrow.fs`` knows local, HDFS and object stores.
+    """
+    for uri in files:
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(path) as handle:
+            yield from pq.ParquetFile(handle).iter_batches(batch_size=rows, columns=columns)
+
+
 def _hadoop(spark: SparkSession, path: str):
     """The file system that ``path`` lies on, and the path as it knows it."""
     jvm = spark.sparkContext._jvm

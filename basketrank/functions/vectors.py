@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -12,15 +11,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketrank.functions.joins import fits_broadcast
-from basketrank.functions.ordering import top_n
-from basketrank.functions.staging import stage
+from basketrank.functions.joins import fits_broadcast, lookup
+from basketrank.functions.ordering import dense_index, top_n
+from basketrank.functions.staging import read_batches, stage
 
 # Scores are compared after rounding, so that the order of additions inside a
 # dot product cannot change a ranking.
 SCORE_DIGITS = 9
 
-# Block sizes of the product when the catalogue is too large to broadcast.
+# Customers that a task holds at a time, and items it reads at a time, when the
+# catalogue is too large to broadcast.
 CUSTOMERS_PER_BLOCK = 16_384
 ITEMS_PER_BLOCK = 65_536
 
@@ -108,9 +108,9 @@ def top_k_by_dot(
     Ties go to the smaller item. Only the best ``k`` per customer and block
     leave the Python workers. The result has a 1-based ``pos``.
 
-    A catalogue below ``limit_bytes`` (default: the bound of all joins) is broadcast and customers are not
-    shuffled for the product. A larger one is cut into blocks and each
-    (customer block, item block) pair meets in one bounded task.
+    A catalogue below ``limit_bytes`` (default: the bound of all joins) is broadcast. A larger
+    one is staged and read block by block in every task, which holds
+    ``customers_per_block`` customers at a time. Customers are not copied either way.
     """
     items = items.select("item_id", "vec")
     queries = queries.select("customer_id", "vec")
@@ -155,6 +155,84 @@ def _scored_by_broadcast(
     return rows.mapInPandas(score, schema)
 
 
+def _keep_best(
+    rows: np.ndarray, at: np.ndarray, scores: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` largest scores of every row, ties to the smaller place; sorted by row and rank."""
+    order = np.lexsort((at, -scores, rows))
+    rows, at, scores = rows[order], at[order], scores[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+    kept = place < k
+    return rows[kept], at[kept], scores[kept]
+
+
+class _RunningBest:
+    """The best ``k`` items so far of each of some customers, while blocks of items pass by.
+
+    Finds are collected and cut to ``k`` per customer when there are as many as
+    the state may hold, so memory stays at customers x k entries.
+    """
+
+    def __init__(self, vecs: np.ndarray, seen: list, k: int):
+        self.vecs, self.k, self.n = vecs, k, len(vecs)
+        self.rows = self.at = np.zeros(0, np.int64)
+        self.scores = np.zeros(0)
+        self.floor = np.full(self.n, -np.inf)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_found = 0
+        lists = [np.zeros(0, np.int64) if s is None else np.asarray(s, np.int64) for s in seen]
+        seen_at = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        order = np.argsort(seen_at, kind="stable")
+        self.seen_at = seen_at[order]
+        self.seen_row = np.repeat(np.arange(self.n), [len(x) for x in lists])[order]
+
+    def add(self, at: np.ndarray, matrix: np.ndarray) -> None:
+        """Score the items at the given places."""
+        order = np.argsort(at)
+        at, matrix = at[order], matrix[order]
+        step = max(1, _CELLS // max(1, self.n))
+        for lo in range(0, len(matrix), step):
+            places = at[lo : lo + step]
+            # Adding 0.0 turns -0.0 into 0.0.
+            scores = np.round(self.vecs @ matrix[lo : lo + step].T, SCORE_DIGITS) + 0.0
+            near = slice(*np.searchsorted(self.seen_at, [places[0], places[-1] + 1]))
+            column = np.searchsorted(places, self.seen_at[near])
+            known = places[column] == self.seen_at[near]
+            scores[self.seen_row[near][known], column[known]] = -np.inf
+            least = self.floor[:, None]
+            if len(places) > self.k:
+                kth = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+                least = np.maximum(least, kth)
+            r, c = np.nonzero((scores >= least) & np.isfinite(scores))
+            self.found.append((r, places[c], scores[r, c]))
+            self.n_found += len(r)
+            if self.n_found >= self.n * self.k:
+                self.cut()
+
+    def cut(self) -> None:
+        parts = [(self.rows, self.at, self.scores), *self.found]
+        self.rows, self.at, self.scores = _keep_best(*map(np.concatenate, zip(*parts)), self.k)
+        self.found, self.n_found = [], 0
+        sizes = np.bincount(self.rows, minlength=self.n)
+        full = np.flatnonzero(sizes >= self.k)
+        self.floor[full] = self.scores[np.cumsum(sizes)[full] - 1]
+
+
+def _residents(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The rows of a task in groups of at most ``size``."""
+    held, n = [], 0
+    for pdf in batches:
+        while n + len(pdf) >= size:
+            held.append(pdf.iloc[: size - n])
+            yield pd.concat(held)
+            pdf, held, n = pdf.iloc[size - n :], [], 0
+        if len(pdf):
+            held.append(pdf)
+            n += len(pdf)
+    if held:
+        yield pd.concat(held)
+
+
 def _scored_by_blocks(
     queries: DataFrame,
     items: DataFrame,
@@ -164,54 +242,48 @@ def _scored_by_blocks(
     customers_per_block: int,
     items_per_block: int,
 ) -> DataFrame:
-    queries = stage(queries, "queries")
-    items = stage(items, "vectors")
-    stripes = max(1, ceil(queries.count() / customers_per_block))
-    blocks = max(1, ceil(items.count() / items_per_block))
-
-    def slot(name: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-
-    left = queries.withColumns(
-        {
-            "stripe": slot("customer_id", stripes),
-            "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))),
-        }
+    """Customers stay in their tasks, and the catalogue passes by in blocks.
+
+    The catalogue is numbered in item order and staged once. Every task holds some
+    customers and their best items so far, reads the staged files one block after
+    the other, and lets exactly the final list of each customer out. No row is
+    copied through a shuffle. A customer's seen items are held as numbers, at most
+    one per item of the catalogue.
+    """
+    numbered = stage(
+        dense_index(items, [F.col("item_id")], "at").select("at", "item_id", "vec"), "catalogue"
     )
+    files = sorted(numbered.inputFiles())
     if seen is None:
-        left = left.withColumn("seen", F.lit(None).cast("array<string>"))
+        rows = queries.withColumn("seen", F.lit(None).cast("array<bigint>"))
     else:
-        # One list per customer and item block, so never longer than a block.
-        lists = (
-            seen.withColumn("block", slot("item_id", blocks))
-            .groupBy("customer_id", "block")
-            .agg(F.collect_list("item_id").alias("seen"))
+        known = lookup(
+            seen.select("customer_id", "item_id"), numbered.select("item_id", "at"), "item_id", "inner",
+            row_bytes=64, spread="customer_id",
         )
-        left = left.join(lists, ["customer_id", "block"], "left")
-    right = items.withColumns(
-        {
-            "block": slot("item_id", blocks),
-            "stripe": F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))),
-        }
-    )
+        lists = known.groupBy("customer_id").agg(F.collect_set("at").alias("seen"))
+        rows = queries.join(lists, "customer_id", "left")
 
-    def score(customers: pd.DataFrame, catalogue: pd.DataFrame) -> pd.DataFrame:
-        if customers.empty or catalogue.empty:
-            return pd.DataFrame({"customer_id": [], "item_id": [], "score": []})
-        ids, matrix = _sorted_matrix(catalogue["item_id"], catalogue["vec"])
-        return pd.concat(
-            _best(
-                customers["customer_id"].to_numpy(),
-                np.vstack(customers["vec"].to_numpy()),
-                customers["seen"].tolist(),
-                ids,
-                matrix,
-                k,
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _residents(batches, customers_per_block):
+            best = _RunningBest(np.vstack(pdf["vec"].to_numpy()), pdf["seen"].tolist(), k)
+            for block in read_batches(files, ["at", "vec"], items_per_block):
+                if block.num_rows:
+                    vecs = block.column("vec").flatten().to_numpy(zero_copy_only=False)
+                    best.add(block.column("at").to_numpy(), vecs.reshape(block.num_rows, -1))
+            best.cut()
+            wanted = np.unique(best.at)
+            names = np.empty(len(wanted), object)
+            for block in read_batches(files, ["at", "item_id"], items_per_block):
+                at = block.column("at").to_numpy()
+                mine = np.flatnonzero(np.isin(at, wanted, assume_unique=True))
+                names[np.searchsorted(wanted, at[mine])] = block.column("item_id").take(mine).to_pylist()
+            yield pd.DataFrame(
+                {
+                    "customer_id": pdf["customer_id"].to_numpy()[best.rows],
+                    "item_id": names[np.searchsorted(wanted, best.at)],
+                    "score": best.scores,
+                }
             )
-        )
 
-    return (
-        left.groupBy("stripe", "block")
-        .cogroup(right.groupBy("stripe", "block"))
-        .applyInPandas(score, schema)
-    )
+    return rows.mapInPandas(score, schema)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketrank.functions.joins import lookup
 from basketrank.functions.ordering import dense_index
+from basketrank.functions.scan import is_long, running
 from basketrank.models.base import Recommender
 
 
@@ -48,10 +49,11 @@ class PopularityModel(Recommender):
                 row_bytes=64, limit_bytes=limit_bytes, spread="customer_id",
             )
             edges = edges.unionByName(ranked.select("customer_id", "rank"))
-        window = Window.partitionBy("customer_id").orderBy("rank")
-        gaps = edges.withColumns(
-            {"j": F.row_number().over(window) - 1, "next": F.lead("rank").over(window)}
+        # A customer has at most as many edges as there are ranks.
+        placed = running(
+            edges, "customer_id", "rank", number="j", following="next", split=is_long(self.ranking, "rank")
         )
+        gaps = placed.withColumn("j", F.col("j") - 1)
         end = F.least(F.col("next") - 1, F.col("j") + k)  # least() skips a null
         places = (
             gaps.withColumn("end", end)

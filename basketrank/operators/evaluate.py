@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from basketrank import config
 from basketrank.functions.ordering import dense_index
+from basketrank.functions.scan import is_long, running
 
 # Decimal places of the list metrics.
 LIST_METRIC_DIGITS = 6
@@ -13,9 +14,9 @@ LIST_METRIC_DIGITS = 6
 
 def unique_keep_order(predictions: DataFrame) -> DataFrame:
     """Drop repeated items of a list, keep the first, close the gaps."""
-    firsts = predictions.groupBy("customer_id", "item_id").agg(F.min("pos").alias("pos"))
-    window = Window.partitionBy("customer_id").orderBy("pos")
-    return firsts.withColumn("pos", F.row_number().over(window))
+    firsts = predictions.groupBy("customer_id", "item_id").agg(F.min("pos").alias("_place"))
+    placed = running(firsts, "customer_id", "_place", number="pos", split=is_long(predictions, "pos"))
+    return placed.drop("_place")
 
 
 def truth_pairs(purchases: DataFrame) -> DataFrame:
@@ -52,20 +53,19 @@ def per_customer(
     rows = predictions.select("customer_id", "item_id", "pos").join(
         truth.withColumn("hit", F.lit(1)), ["customer_id", "item_id"], "left"
     )
-    ordered = Window.partitionBy("customer_id").orderBy("pos")
-    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     repeat = Window.partitionBy("customer_id", "item_id").orderBy("pos")
-    rows = (
-        rows.withColumns(
-            {
-                "hit": F.coalesce("hit", F.lit(0)),
-                "first": (F.row_number().over(repeat) == 1).cast("int"),
-            }
-        )
-        .withColumn("new_hit", F.col("hit") * F.col("first"))
-        .withColumns(
-            {"rank": F.sum("first").over(so_far), "hits_so_far": F.sum("new_hit").over(so_far)}
-        )
+    marked = rows.withColumns(
+        {
+            "hit": F.coalesce("hit", F.lit(0)),
+            "first": (F.row_number().over(repeat) == 1).cast("int"),
+        }
+    ).withColumn("new_hit", F.col("hit") * F.col("first"))
+    rows = running(
+        marked,
+        "customer_id",
+        "pos",
+        sums={"rank": "first", "hits_so_far": "new_hit"},
+        split=is_long(predictions, "pos"),
     )
 
     def count_new_hits(where: Column) -> Column:

@@ -9,7 +9,8 @@ import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
 
-from basketrank.functions.joins import fits_broadcast, lookup
+from basketrank.functions import joins, vectors
+from basketrank.functions.joins import add_by_pair, fits_broadcast, heavy_keys, lookup, salted_join
 from basketrank.functions.ordering import dense_index, hash_take, top_n
 from basketrank.functions.staging import new_path, release, shared_folder, stage
 from basketrank.functions.vectors import top_k_by_dot
@@ -55,6 +56,67 @@ def test_salted_join_splits_the_hot_key(spark, skewed):
     assert sum(r["count"] for r in sizes) == 1000
 
 
+def test_heavy_keys_come_from_one_column_and_nothing_is_written(spark, tmp_path):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [1] * 30_000 + [2] * 4_000 + list(range(3, 56_003)) + [None] * 10_000
+    fact = spark.createDataFrame([(k, "wide" * 5) for k in keys], "key long, text string").repartition(9)
+    found = dict(heavy_keys(fact, "key"))
+    # 90,000 rows with a key, of which a quarter share is 90,000 / (4 * parts).
+    quarter = 90_000 / (4 * parts)
+    assert set(found) == {1, 2}
+    assert 30_000 / quarter <= found[1] <= 30_000 / quarter + 2
+    assert 4_000 / quarter <= found[2] <= 4_000 / quarter + 2
+    assert heavy_keys(fact.filter("key > 2"), "key") == []
+    assert heavy_keys(fact.filter("key IS NULL"), "key") == []
+    staged = []
+    patch = pytest.MonkeyPatch()
+    patch.setattr(joins, "stage", lambda df, label: staged.append(label) or df)
+    salted_join(fact, spark.createDataFrame([(1, "a")], "key long, name string"), "key").count()
+    patch.undo()
+    assert staged == []
+
+
+def largest_share(df) -> float:
+    """Rows of the largest task against the mean of all tasks."""
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) / sum(sizes)
+
+
+def test_no_task_of_a_salted_join_is_large(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fact = spark.range(60_000).select(
+            F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, 8).otherwise(F.col("id")).alias("key"), "id"
+        )
+        dim = fact.select("key").distinct()
+        assert largest_share(salted_join(fact, dim, "key", "left_semi", "id")) < 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("fits", [True, False])
+def test_pairs_of_a_heavy_customer_are_cut_where_they_lie(spark, fits):
+    left = spark.createDataFrame(
+        [(c, f"i{n}", 1.0) for c in range(40) for n in range(c, c + 5)] + [(None, "i1", 2.0)],
+        "customer_id int, item_id string, score double",
+    )
+    pairs = [(3, f"i{n}") for n in range(4000)] + [(c, f"i{n}") for c in range(60) if c != 3 for n in range(20)]
+    right = spark.createDataFrame([(*p, 1) for p in pairs], "customer_id int, item_id string, n int")
+    patch = pytest.MonkeyPatch()
+    if not fits:
+        patch.setattr(joins, "fits_broadcast", lambda *a, **k: False)
+    kept = joins._without_surplus(left, right, right)
+    patch.undo()
+    assert kept.filter("customer_id = 3").count() == 5
+    assert kept.filter("customer_id <> 3").count() == 59 * 20
+    got = rows(add_by_pair(left.filter("customer_id IS NOT NULL"), right), "customer_id", "item_id", "n")
+    bought = set(pairs)
+    want = sorted((c, f"i{n}", 1 if (c, f"i{n}") in bought else None) for c in range(40) for n in range(c, c + 5))
+    assert got == want
+
+
 def test_fits_broadcast_counts_rows(skewed):
     _, dim = skewed
     assert fits_broadcast(dim, 10, 220)
@@ -136,6 +198,31 @@ def test_top_k_by_dot_both_ways(spark, k, masked):
     assert rows(blocks, *columns) == want
 
 
+def test_blocks_copy_no_customer_and_return_final_lists(spark):
+    rng = np.random.default_rng(6)
+    queries = spark.createDataFrame(
+        [(c, rng.normal(size=4).tolist()) for c in range(50)], "customer_id int, vec array<double>"
+    ).repartition(5)
+    items = spark.createDataFrame(
+        [(f"i{n}", rng.normal(size=4).tolist()) for n in range(300)], "item_id string, vec array<double>"
+    )
+    schema = "customer_id int, item_id string, score double"
+    scored = vectors._scored_by_blocks(queries, items, 7, None, schema, 8, 32)
+    # Seven rows of each customer leave the tasks, before anything is ranked.
+    assert scored.count() == 50 * 7
+    steps = plan(scored)
+    assert "Generate" not in steps and "CoGroup" not in steps
+    # The one shuffle is the repartition above.
+    assert steps.count("Exchange") == 1
+    # What a task holds is cut to its k best per customer.
+    best = vectors._RunningBest(rng.normal(size=(20, 4)), [None] * 20, 3)
+    for lo in range(0, 2000, 50):
+        best.add(np.arange(lo, lo + 50), rng.normal(size=(50, 4)))
+        assert len(best.rows) <= 60 and best.n_found <= 60
+    best.cut()
+    assert np.bincount(best.rows).tolist() == [3] * 20
+
+
 def test_top_k_without_items(spark):
     queries = spark.createDataFrame([(1, [1.0])], "customer_id int, vec array<double>")
     empty = spark.createDataFrame([], "item_id string, vec array<double>")
