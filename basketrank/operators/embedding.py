@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from basketrank.config import CandidateLimits, EmbeddingParams
+from basketrank.functions.hashing import HashTables, top_k_by_hashing
 from basketrank.functions.joins import lookup
 from basketrank.functions.ordering import dense_index
 from basketrank.functions.vectors import top_k_by_dot, unit, weighted_mean
+from basketrank.models.skipgram import fit_skipgram
 
 
 def purchase_sequences(
@@ -42,40 +42,16 @@ def purchase_sequences(
     )
 
 
-def fit_tasks(transactions: DataFrame, params: EmbeddingParams) -> int:
-    """Tasks of the fit. Each trains on its share, and their vectors are averaged."""
-    if params.partitions:
-        return params.partitions
-    cores = transactions.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(cores, -(-transactions.count() // params.lines_per_task)))
-
-
 def fit_item_vectors(
     transactions: DataFrame, params: EmbeddingParams = EmbeddingParams()
-) -> Word2VecModel:
-    """Skip-gram vectors of items from the purchase sequences.
+) -> DataFrame:
+    """(item_id, vec): skip-gram vectors of items from the purchase sequences."""
 
-    The vocabulary and its two matrices are held by the driver and every task, a
-    limit of the library: items x dims x 8 bytes, about 1 GB for 2 million items.
-    """
-    return Word2Vec(
-        vectorSize=params.vector_size,
-        windowSize=params.window,
-        minCount=params.min_count,
-        maxIter=params.epochs,
-        numPartitions=fit_tasks(transactions, params),
-        maxSentenceLength=params.sentence_length,
-        seed=params.seed,
-        inputCol="items",
-        outputCol="vector",
-    ).fit(purchase_sequences(transactions, params.sentence_length, params.window))
-
-
-def vectors_of(model: Word2VecModel) -> DataFrame:
-    """(item_id, vec) of every item in the model's vocabulary."""
-    return model.getVectors().select(
-        F.col("word").alias("item_id"), vector_to_array("vector").alias("vec")
-    )
+    def sequences(lines: DataFrame) -> DataFrame:
+        # A purchase is in two chunks at most.
+        return purchase_sequences(lines, max(params.sentence_length, 2 * params.window), params.window)
+
+    return fit_skipgram(transactions, sequences, params)
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -118,9 +94,16 @@ def vector_candidates(
     decay: float = CandidateLimits.decay,
     *,
     dims: int = EmbeddingParams.vector_size,
+    tables: HashTables | None = None,
     **product,
 ) -> DataFrame:
-    """(customer_id, item_id, score, pos): items with the highest cosine, history excluded."""
+    """(customer_id, item_id, score, pos): items with the highest cosine, history excluded.
+
+    Exact, unless hash ``tables`` are given, which save looking at every item of a
+    very large catalogue and may miss some.
+    """
     queries = customer_vectors(history, vectors, n_recent, decay, dims=dims)
     seen = history.select("customer_id", "item_id")
+    if tables is not None:
+        return top_k_by_hashing(queries, unit_vectors(vectors), n, seen, dims=dims, tables=tables)
     return top_k_by_dot(queries, unit_vectors(vectors), n, seen, dims=dims, **product)
