@@ -58,6 +58,8 @@ class AlsParams:
     iterations: int = 20
     regularization: float = 0.01
     alpha: float = 40.0
+    # Confidence of an interaction is this plus alpha times its weight.
+    confidence_offset: float = 0.0
     seed: int = 42
     # Blocks of customers and of items; 0 derives them from the number of rows.
     user_blocks: int = 0
@@ -73,10 +75,12 @@ class EmbeddingParams:
     # Purchases per training sentence; longer histories become several, each
     # beginning with the last ``window`` purchases of the one before.
     sentence_length: int = 10_000
-    # Tasks of the fit; 0 takes one for every ``lines_per_task`` purchases, at
-    # most the cluster's cores.
-    partitions: int = 0
-    lines_per_task: int = 1_000_000
+    # Draws against every pair, and the share of all purchases above which an item
+    # takes part less often (0: never).
+    negatives: int = 5
+    sample: float = 1e-3
+    # Shards of the two vector tables; 0 follows the items and the cores.
+    shards: int = 0
     seed: int = 42
 
 
@@ -85,6 +89,7 @@ class RankerParams:
     trees: int = 500
     learning_rate: float = 0.05
     max_depth: int = 6
+    leaves: int = 63
     row_sample: float = 0.8
     column_sample: float = 0.8
     seed: int = 42

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from basketrank.config import CandidateLimits
 from basketrank.functions.joins import fits_broadcast
 from basketrank.functions.ordering import renumber, top_n
-from basketrank.operators.covisit import covisit_candidates
+from basketrank.operators.covisit import NeighbourIndex, covisit_candidates
 from basketrank.operators.embedding import vector_candidates
 from basketrank.operators.history import history_candidates
 from basketrank.operators.split import of_customers, only_items
@@ -55,7 +55,7 @@ def merge_candidates(
 def generate_candidates(
     transactions: DataFrame,
     customers: DataFrame,
-    neighbours: DataFrame,
+    neighbours: DataFrame | NeighbourIndex,
     vectors: DataFrame | None = None,
     active: DataFrame | None = None,
     limits: CandidateLimits = CandidateLimits(),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketrank.config import CandidateLimits
 from basketrank.functions.expressions import n_distinct
 from basketrank.functions.joins import BROADCAST_BYTES, fits_broadcast, lookup
 from basketrank.functions.ordering import dense_index_sized, top_n
+from basketrank.functions.staging import stage
 
 
 # Items of one bill that are paired in one row when bills have no limit.
@@ -108,8 +111,55 @@ def covisit_neighbours(
     )
 
 
+@dataclass(frozen=True)
+class NeighbourIndex:
+    """Neighbour lists by integer codes, made once and used by any number of customers.
+
+    ``codes`` is (item_id, code) in item order, ``lists`` (item_id, own, near) with
+    the item's own code and its neighbours as (code, score). Both are stored.
+    """
+
+    codes: DataFrame
+    lists: DataFrame
+    few_codes: bool
+    few_lists: bool
+
+    @classmethod
+    def of(cls, neighbours: DataFrame, limit_bytes: int | None = None) -> NeighbourIndex:
+        """``neighbours`` is read several times: stage it."""
+        limit = BROADCAST_BYTES if limit_bytes is None else limit_bytes
+        named = neighbours.select("item_id").union(neighbours.select("co_item_id")).distinct()
+        codes, n_codes = dense_index_sized(named, [F.col("item_id")], "code")
+        codes = stage(codes.withColumn("code", F.col("code").cast("int")), "codes")
+        few_codes = n_codes * 128 <= limit
+        near = lookup(
+            neighbours.select("item_id", "co_item_id", "score"),
+            codes.withColumnRenamed("item_id", "co_item_id"),
+            "co_item_id", "inner", fits=few_codes, spread="item_id",
+        )
+        # One short list per item, so the history meets a table with unique keys.
+        lists = (
+            near.groupBy("item_id")
+            .agg(F.collect_list(F.struct("code", "score")).alias("near"))
+            .join(codes.withColumnRenamed("code", "own"), "item_id")
+        )
+        few_lists = fits_broadcast(neighbours, 32, limit_bytes)
+        return cls(codes, stage(lists.select("item_id", "own", "near"), "neighbour-lists"), few_codes, few_lists)
+
+    def save(self, path: str) -> None:
+        self.codes.write.mode("overwrite").parquet(f"{path}/codes")
+        self.lists.write.mode("overwrite").parquet(f"{path}/lists")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, limit_bytes: int | None = None) -> NeighbourIndex:
+        limit = BROADCAST_BYTES if limit_bytes is None else limit_bytes
+        codes, lists = (spark.read.parquet(f"{path}/{name}") for name in ("codes", "lists"))
+        pairs = lists.agg(F.coalesce(F.sum(F.size("near")), F.lit(0))).first()[0]
+        return cls(codes, lists, codes.count() * 128 <= limit, pairs * 32 <= limit)
+
+
 def covisit_candidates(
-    history: DataFrame, neighbours: DataFrame, n: int = CandidateLimits.covisit,
+    history: DataFrame, neighbours: DataFrame | NeighbourIndex, n: int = CandidateLimits.covisit,
     limit_bytes: int | None = None,
 ) -> DataFrame:
     """(customer_id, item_id, score, pos): neighbours of the history, scores added up.
@@ -119,28 +169,13 @@ def covisit_candidates(
     join is needed. ``history`` partitioned by customer stays in place: the
     neighbour lists come to it, and neither the sum nor the ranking shuffles.
     The sum, the largest step, runs on integer item codes in item order.
-    ``neighbours`` is read several times: stage it.
+    ``neighbours`` may be a table, which is indexed on the spot, or its index.
     """
-    limit = BROADCAST_BYTES if limit_bytes is None else limit_bytes
-    named = neighbours.select("item_id").union(neighbours.select("co_item_id")).distinct()
-    codes, n_codes = dense_index_sized(named, [F.col("item_id")], "code")
-    codes = codes.withColumn("code", F.col("code").cast("int"))
-    few_codes = n_codes * 128 <= limit
-    # One short list per item, so the history meets a table with unique keys.
-    near = lookup(
-        neighbours.select("item_id", "co_item_id", "score"),
-        codes.withColumnRenamed("item_id", "co_item_id"),
-        "co_item_id", "inner", fits=few_codes, spread="item_id",
-    )
-    lists = (
-        near.groupBy("item_id")
-        .agg(F.collect_list(F.struct("code", "score")).alias("near"))
-        .join(codes.withColumnRenamed("code", "own"), "item_id")
-    )
+    index = neighbours if isinstance(neighbours, NeighbourIndex) else NeighbourIndex.of(neighbours, limit_bytes)
     # Items without neighbours are nobody's neighbour either.
     found = lookup(
-        history.select("customer_id", "item_id"), lists, "item_id", "inner",
-        spread="customer_id", fits=fits_broadcast(neighbours, 32, limit_bytes),
+        history.select("customer_id", "item_id"), index.lists, "item_id", "inner",
+        spread="customer_id", fits=index.few_lists,
     )
     own = F.array(F.struct(F.col("own").alias("code"), F.lit(None).alias("score")))
     scored = (
@@ -150,6 +185,6 @@ def covisit_candidates(
         .filter("owned = 0")
     )
     best = top_n(scored, "customer_id", [F.col("score").desc(), F.col("code")], n)
-    return lookup(best, codes, "code", "inner", fits=few_codes, spread="customer_id").select(
+    return lookup(best, index.codes, "code", "inner", fits=index.few_codes, spread="customer_id").select(
         "customer_id", "item_id", "score", "pos"
     )

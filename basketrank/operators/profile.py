@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from basketrank.functions.expressions import n_distinct
+from basketrank.sources.tables import MONTH_FOLDERS
+
+# Counters of a distinct-count sketch, as a power of two.
+SKETCH_PRECISION = 12
 
 
 def table_profile(
@@ -37,3 +41,35 @@ def monthly_distribution(df: DataFrame, ts: str) -> DataFrame:
 def preview(df: DataFrame, n: int = 5, order: list[str] | None = None) -> DataFrame:
     """The first ``n`` rows by ``order``, all columns unless named: the same rows every time."""
     return df.orderBy(*(order or df.columns)).limit(n)
+
+
+def monthly_sketches(df: DataFrame, ts: str, columns: list[str], precision: int = SKETCH_PRECISION) -> DataFrame:
+    """(part_year, part_month, n_rows, date_min, date_max, sketch of each column), one row per month.
+
+    To be stored beside a table's month folders. A sketch takes 2^precision bytes
+    at most and can be merged with those of other months.
+    """
+    year, month = MONTH_FOLDERS
+    return df.groupBy(F.year(ts).alias(year), F.month(ts).alias(month)).agg(
+        F.count("*").alias("n_rows"),
+        F.min(ts).alias("date_min"),
+        F.max(ts).alias("date_max"),
+        *[F.hll_sketch_agg(c, precision).alias(f"sketch_{c}") for c in columns],
+    )
+
+
+def profile_of_sketches(sketches: DataFrame, distinct: dict[str, str]) -> DataFrame:
+    """:func:`table_profile` of all months in ``sketches``, without reading their rows.
+
+    Rows and dates are exact. Distinct counts are estimates: with 2^p counters the
+    standard error is 1.04 / sqrt(2^p), 1.6 percent by default.
+    """
+    return sketches.agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.min("date_min").alias("date_min"),
+        F.max("date_max").alias("date_max"),
+        *[
+            F.hll_sketch_estimate(F.hll_union_agg(f"sketch_{column}")).alias(name)
+            for column, name in distinct.items()
+        ],
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basketrank.functions.hashing import top_k_by_hashing
 from basketrank.functions.staging import new_path, stage
 from basketrank.functions.vectors import top_k_by_dot
 from basketrank.operators import covisit, embedding
@@ -71,6 +72,22 @@ def _nearest_rows(limit_bytes: int | None = None):
     return run
 
 
+def _hashed_recall(spark, folder):
+    """How much of the ten nearest of every embedding the hash tables find, exact scores included."""
+    rows = stage(embedding.unit_vectors(star.embedding_rows(spark, folder)), "rows")
+    asks = rows.select(F.col("vec_id").alias("customer_id"), "vec")
+    items = rows.select(F.col("vec_id").cast("string").alias("item_id"), "vec")
+    own = rows.select(F.col("vec_id").alias("customer_id"), F.col("vec_id").cast("string").alias("item_id"))
+    exact = top_k_by_dot(asks, items, 10, own, dims=64)
+    found = top_k_by_hashing(asks, items, 10, own, dims=64).withColumnRenamed("score", "found_score")
+    both = exact.drop("pos").join(found.drop("pos"), ["customer_id", "item_id"], "left")
+    return both.agg(
+        F.count("*").alias("n_wanted"),
+        (F.count("found_score") >= 0.9 * F.count("*")).alias("nine_tenths_found"),
+        F.count_if(F.col("score") != F.col("found_score")).alias("n_other_scores"),
+    )
+
+
 def _vectors_roundtrip(spark, folder):
     path = new_path(spark, "vectors")
     Case(spark, folder, "part").vectors.write.parquet(path)
@@ -126,6 +143,7 @@ QUERIES = {
     "vectors_roundtrip": _vectors_roundtrip,
     "top_dot_embeddings": _nearest_rows(),
     "top_dot_embeddings_blocks": _nearest_rows(0),
+    "hashed_recall": _hashed_recall,
     "decayed_user_vector": _customer_vectors("group"),
     "decayed_user_vector_part": _customer_vectors("part"),
     "knn_cosine": _nearest("group"),
@@ -213,6 +231,8 @@ SQL = {
     ),
     "top_dot_embeddings": _TOP_DOT,
     "top_dot_embeddings_blocks": _TOP_DOT,
+    "hashed_recall": "SELECT CAST(count(*) * 10 AS BIGINT) AS n_wanted, TRUE AS nine_tenths_found, "
+    "CAST(0 AS BIGINT) AS n_other_scores FROM embeddings",
     "decayed_user_vector": _customer_sql("group"),
     "decayed_user_vector_part": _customer_sql("part"),
     "knn_cosine": _nearest_sql("group"),

@@ -127,7 +127,7 @@ positions AS (
     FROM train)"""
 
 
-def _metric_ctes(lists: str, customers: str, k: int) -> str:
+def metric_ctes(lists: str, customers: str, k: int) -> str:
     """Terms per customer, and the one-row summary ``m``."""
     return f"""
 truth AS (SELECT DISTINCT customer_id, item_id FROM val),
@@ -169,7 +169,7 @@ m AS (
     FROM terms)"""
 
 
-def _top_k(k: int, precision: str = "precision") -> str:
+def top_k_metrics(k: int, precision: str = "precision") -> str:
     return ", ".join(
         [
             round_sql("recall", f"recall_top{k}"),
@@ -182,7 +182,7 @@ def _top_k(k: int, precision: str = "precision") -> str:
     )
 
 
-_LIST = ", ".join(
+LIST_METRICS = ", ".join(
     [
         "total_correct AS total_correct_recommendations",
         round_sql("list_precision", "precision_at_10"),
@@ -196,11 +196,11 @@ _LIST = ", ".join(
 def _popular_metrics(select: str, k: int) -> str:
     predicted = "(SELECT DISTINCT customer_id FROM popular)"
     return sql(
-        f"SELECT {select} FROM m", base(), POPULAR_SQL, _metric_ctes("popular", predicted, k)
+        f"SELECT {select} FROM m", base(), POPULAR_SQL, metric_ctes("popular", predicted, k)
     )
 
 
-_EVALUATED = _popular_metrics(f"{_top_k(10, 'list_precision')}, {_LIST}", 10)
+_EVALUATED = _popular_metrics(f"{top_k_metrics(10, 'list_precision')}, {LIST_METRICS}", 10)
 
 SQL = {
     "popularity_reloaded": sql(_POPULAR, base(), POPULAR_SQL),
@@ -237,16 +237,16 @@ SQL = {
         base(),
         _POSITIONS,
     ),
-    "metrics_topk": _popular_metrics(_top_k(10), 10),
-    "metrics_topk_k3": _popular_metrics(_top_k(3), 3),
-    "metrics_pir": _popular_metrics(_LIST, 10),
+    "metrics_topk": _popular_metrics(top_k_metrics(10), 10),
+    "metrics_topk_k3": _popular_metrics(top_k_metrics(3), 3),
+    "metrics_pir": _popular_metrics(LIST_METRICS, 10),
     "evaluate": _EVALUATED,
-    "evaluate_k5": _popular_metrics(f"{_top_k(5)}, {_LIST}", 5),
+    "evaluate_k5": _popular_metrics(f"{top_k_metrics(5)}, {LIST_METRICS}", 5),
     "evaluate_history": sql(
-        f"SELECT {_top_k(10, 'list_precision')}, {_LIST} FROM m",
+        f"SELECT {top_k_metrics(10, 'list_precision')}, {LIST_METRICS} FROM m",
         base(),
         _POSITIONS,
-        _metric_ctes(
+        metric_ctes(
             "positions",
             "(SELECT customer_id FROM positions UNION SELECT customer_id FROM val)",
             10,

@@ -150,7 +150,22 @@ def _profile(table: str, ts: str | None, distinct: dict[str, str]):
 
 _KEYS = {"customer_id": "n_customers", "item_id": "n_items"}
 
+def _sketched_profile(spark, folder):
+    """All months from stored sketches: exact rows and dates, distinct customers within five percent."""
+    tx = Case(spark, folder).tx
+    path = new_path(spark, "sketches")
+    profile.monthly_sketches(tx, _TS, ["customer_id", "item_id"]).write.parquet(path)
+    rough = profile.profile_of_sketches(spark.read.parquet(path), {"customer_id": "customers", "item_id": "items"})
+    exact = profile.table_profile(tx, distinct={"customer_id": "n_customers", "item_id": "n_items"}).drop("n_rows")
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.05 * F.col(b)
+    return rough.crossJoin(exact).select(  # one row each
+        "n_rows", "date_min", "date_max", "n_customers", "n_items",
+        (close("customers", "n_customers") & close("items", "n_items")).alias("close"),
+    )
+
+
 QUERIES = {
+    "profile_sketches": _sketched_profile,
     "scan_transactions": _scan("tx"),
     "scan_events": _scan("events"),
     "scan_items": _scan("items"),
@@ -260,6 +275,11 @@ _SCAN_ITEMS = sql(
 )
 
 SQL = {
+    "profile_sketches": sql(
+        """SELECT count(*) AS n_rows, min(updated_date) AS date_min, max(updated_date) AS date_max,
+            count(DISTINCT customer_id) AS n_customers, count(DISTINCT item_id) AS n_items, TRUE AS close
+        FROM tx"""
+    ),
     "scan_transactions": sql(f"SELECT {_TX_SQL} FROM tx"),
     "preview": sql(f"SELECT {_TX_SQL} FROM tx ORDER BY {_TX} LIMIT 5"),
     "scan_events": sql("SELECT customer_id, item_id, event_type, event_date FROM ev"),

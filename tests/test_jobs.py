@@ -18,7 +18,7 @@ from basketrank.sources.tables import open_tables, write_by_month
 
 SETTINGS = two_stage.Settings(
     limits=CandidateLimits(history=30, covisit=30, vectors=30),
-    embedding=EmbeddingParams(vector_size=8, epochs=1, partitions=2),
+    embedding=EmbeddingParams(vector_size=8, epochs=1, shards=2),
     ranker=RankerParams(trees=3, max_depth=3, train_users=60),
 )
 
@@ -143,24 +143,27 @@ def test_prediction_with_a_new_model_replaces_the_lists(spark, tables, tmp_path)
     assert found[0] != found[1]
 
 
-def test_tasks_and_blocks_follow_the_rows(spark, small):
+def test_shards_and_blocks_follow_the_rows(spark, small):
     from basketrank.models import als
-    from basketrank.operators.embedding import fit_tasks
+    from basketrank.models.skipgram import LEAST_ITEMS, MOST_ITEMS, shards_for
 
     rows = spark.range(1000)
     cores = spark.sparkContext.defaultParallelism
     assert als.blocks_for(rows, 10) == 100
     assert als.blocks_for(rows, 1000) == cores
-    assert fit_tasks(rows, EmbeddingParams(lines_per_task=400)) == min(cores, 3)
-    assert fit_tasks(rows, EmbeddingParams(partitions=5)) == 5
+    assert shards_for(100, 8) == 1
+    assert shards_for(3 * LEAST_ITEMS, 8) == 3
+    assert shards_for(100 * LEAST_ITEMS, 8) == 8
+    assert shards_for(100 * MOST_ITEMS, 8) == 100
+    assert shards_for(100, 8, 5) == 5
 
 
 def test_registered_ranker_has_all_default_trees(spark, small):
     from basketrank.queries.models import _ranker
 
-    trees = _ranker(spark, small)[0].model.stages[1]
-    assert trees.getNumTrees == trees.getMaxIter() == RankerParams().trees
-    assert trees.getMaxDepth() == RankerParams().max_depth
+    trees = _ranker(spark, small)[0].model.trees
+    assert trees["tree"].nunique() == RankerParams().trees
+    assert (trees[trees["feature_at"] < 0].groupby("tree").size() <= RankerParams().leaves).all()
 
 
 def test_ranker_finds_a_planted_signal(spark):
@@ -174,13 +177,13 @@ def test_ranker_finds_a_planted_signal(spark):
     assert ranker.rank(df.limit(0)).count() == 0
 
 
-def test_word2vec_vocabulary_is_the_frequent_items(spark, small):
-    from basketrank.operators.embedding import fit_item_vectors, vectors_of
+def test_vector_vocabulary_is_the_frequent_items(spark, small):
+    from basketrank.operators.embedding import fit_item_vectors
     from basketrank.queries.common import Case
 
     train = Case(spark, small).train
-    params = EmbeddingParams(vector_size=4, epochs=1, partitions=1, min_count=40)
-    known = {r["item_id"] for r in vectors_of(fit_item_vectors(train, params)).collect()}
+    params = EmbeddingParams(vector_size=4, epochs=1, shards=3, min_count=40)
+    known = {r["item_id"] for r in fit_item_vectors(train, params).collect()}
     frequent = train.groupBy("item_id").count().filter("count >= 40").collect()
     assert known == {r["item_id"] for r in frequent}
 
