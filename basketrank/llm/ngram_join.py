@@ -8,7 +8,7 @@ class and are joined once.
    common words only, come last in the order of shingles; others go by hash.
 2. Prefix filter: similar sets share a shingle among the first ones of both, so a
    second pass writes (shingle, class) for those only, and shingles of one class
-   drop out.
+   drop out, as do shingles that the same classes hold as another one.
 3. Signature trees (``signature_tree``) of hashed bitmaps sift what is left, first
    with outlines, then with signatures four times as wide: only classes with a
    possible partner under their shingle stay, and only their sets are staged.
@@ -274,10 +274,23 @@ def open_rows(rows: DataFrame) -> DataFrame:
         .select("token"),
         "shared-shingles",
     )
-    return stage(
-        lookup(rows, shared, "token", "left_semi", row_bytes=32, spread="class").select("token", "class").distinct(),
-        "open",
+    found = lookup(rows, shared, "token", "left_semi", row_bytes=32, spread="class").select("token", "class")
+    return one_per_membership(stage(found.distinct(), "open"))
+
+
+def one_per_membership(rows: DataFrame) -> DataFrame:
+    """``rows`` (token, class) without shingles that are held by the same classes as another one.
+
+    Classes that meet under a shingle still meet under the one that stays. Shingles
+    are compared by the number of their classes and two 64-bit sums over them.
+    """
+    held = rows.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("class")).alias("x"),
+        F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"),
     )
+    kept = stage(held.groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"), "kept-shingles")
+    return stage(lookup(rows, kept, "token", "left_semi", row_bytes=32, spread="class").select("token", "class"), "open")
 
 
 def class_rows(texts: DataFrame, wanted: DataFrame, words: int, form: str) -> DataFrame:
@@ -485,7 +498,8 @@ def linked_classes(
             break
         first, last = number == 0, number == ROUNDS
         if last:
-            members = rows.select(F.col("token").alias("bucket"), "class", "comp")
+            members = one_per_membership(rows.select("token", "class")).join(groups, "class")
+            members = members.select(F.col("token").alias("bucket"), "class", "comp")
         else:
             members = _widest(rows).join(groups, "class")
         members = stage(members, "members").join(sizes, "class")

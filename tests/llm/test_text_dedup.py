@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import brute  # noqa: E402
 from basketrank.llm import components, decontaminate, exact_dedup, line_dedup, ngram_join  # noqa: E402
-from basketrank.llm.signature_tree import possible_pairs, signature, similar_pairs  # noqa: E402
+from basketrank.llm.signature_tree import linked, possible_pairs, signature, similar_pairs  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 PLAIN = [(r[0], r[1]) for r in brute.ROWS]
@@ -74,6 +74,61 @@ def test_similarity_components(docs, words, percent):
     assert got == want
 
 
+def test_traversal_memory_follows_the_bitmaps():
+    """2,600 sets of 200 shingles, unrelated pairs of near copies, one shingle common to all."""
+    import tracemalloc
+
+    dice = np.random.default_rng(0)
+    sets = []
+    for _ in range(1300):
+        own = dice.integers(0, 2**62, 200).astype(np.uint64)
+        own[0] = 7
+        near = own.copy()
+        near[5] = dice.integers(0, 2**62)
+        sets += [np.unique(own), np.unique(near)]
+    tracemalloc.start()
+    a, b = similar_pairs(sets, np.arange(len(sets)), 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(a // 2, b // 2)) == [(i, i) for i in range(1300)]
+    assert peak < 300e6
+
+
+@pytest.mark.parametrize("most_bytes", [None, 64, 2000])
+@pytest.mark.parametrize("percent", [50, 80])
+def test_pairs_and_links_with_narrow_bitmaps(most_bytes, percent):
+    dice = np.random.default_rng(percent)
+    sets = [np.unique(dice.integers(0, 60, dice.integers(0, 30))).astype(np.uint64) for _ in range(120)]
+    sets += [np.unique(np.append(s, dice.integers(0, 60, 2).astype(np.uint64))) for s in sets]
+    groups = np.unique(dice.integers(0, 180, len(sets)), return_inverse=True)[1]
+    want = set()
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(x, sets[j]))
+            if groups[i] != groups[j] and len(x) and 100 * both >= percent * (len(x) + len(sets[j]) - both):
+                want.add((j, i))
+    a, b = similar_pairs(sets, groups, percent, most_bytes)
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} == want
+    root = list(range(groups.max() + 1))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in want:
+        x, y = sorted((find(groups[i]), find(groups[j])))
+        root[y] = x
+    assert linked(sets, groups, percent, most_bytes).tolist() == [find(x) for x in range(len(root))]
+
+
+def test_shingles_of_the_same_classes_are_looked_at_once(spark):
+    rows = [(t, c) for t in (5, 6, 7) for c in (1, 2)] + [(8, 1), (8, 2), (8, 3), (9, 2), (9, 3), (10, 2), (10, 3)]
+    df = spark.createDataFrame(rows, "token long, class long")
+    kept = {(r.token, r["class"]) for r in ngram_join.one_per_membership(df).collect()}
+    assert kept == {(5, 1), (5, 2), (8, 1), (8, 2), (8, 3), (9, 2), (9, 3)}
+
+
 def test_similarity_in_small_units(spark):
     """Buckets far above the bound of a unit, with links in chains and copies."""
     random = np.random.default_rng(3)
