@@ -13,7 +13,7 @@ import html
 import re
 
 _TOKEN = re.compile(
-    r"""<!--(?:.*?--!?>|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*+>
+    r"""<!--(?:.*?--!?>|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*+(?:>|\Z)
         |<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^"'<>]++|"[^"]*"|'[^']*')*+)>
         |<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<attrs2>[^<>]*+)>""",
     re.X | re.S,

@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -114,30 +116,48 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _value(text: str, at: int, known: dict) -> tuple[dict[tuple[int, int], bool], int]:
-    """Literals (start, end) -> quoted that the value at ``at`` is made of, and where it ends."""
-    parts: dict[tuple[int, int], bool] = {}
+class _Value:
+    """What an assignment gives: literals (start, end) -> quoted of its own, and values given before.
+
+    ``told`` is the most sensitive target that it reaches: (sensitivity, -order, name).
+    """
+
+    __slots__ = ("own", "parts", "told")
+
+    def __init__(self):
+        self.own: dict[tuple[int, int], bool] = {}
+        self.parts: list[_Value] = []
+        self.told: tuple[float, int, str] = (0.0, 0, "")
+
+
+def _value(text: str, at: int, known: dict[str, _Value]) -> tuple[_Value, int]:
+    """The value at ``at``, and where it ends."""
+    value = _Value()
     while m := _PART.match(text, at):
         at = m.end()
         name = m["braced"] or m["name"]
         if m["quoted"] is not None:
-            parts[m.span("quoted")] = True
+            value.own[m.span("quoted")] = True
         elif name in known:
-            parts.update(known[name])
+            value.parts.append(known[name])
         elif not m["braced"]:
-            parts[m.span("name") if name else m.span("bare")] = False
+            value.own[m.span("name") if name else m.span("bare")] = False
         more = _SUM.match(text, at)
         if not more:
             break
         at = more.end()
-    return parts, at
+    return value, at
 
 
 def literal_spans(text: str) -> list[tuple[int, int, str, str, float]]:
-    """(start, end, "literal", target name, score) of literals given to sensitive names."""
-    known: dict[str, dict[tuple[int, int], bool]] = {}
-    strong: dict[tuple[int, int], float] = {}
-    best: dict[tuple[int, int], tuple[float, str]] = {}
+    """(start, end, "literal", target name, score) of literals given to sensitive names.
+
+    A literal that reaches several targets is scored for the most sensitive of them,
+    the first of equals. Values share the values they were made of, and what they
+    reach is handed down once, so the time follows the length of the text.
+    """
+    known: dict[str, _Value] = {}
+    values: list[_Value] = []
     at = 0
     while m := _PAIR.search(text, at):
         # a = b = "c" and a: b = "c" give one value to several names.
@@ -148,24 +168,35 @@ def literal_spans(text: str) -> list[tuple[int, int, str, str, float]]:
             m = None if last["tag"] else _PAIR.match(text, at)
         if last["tag"]:
             # <name>value</name>
+            if text[last.start() - 1 : last.start()] != "<":
+                continue
             close = text.find("<", at)
-            if text[last.start() - 1 : last.start()] != "<" or not text.startswith(f"</{last['name']}", close):
+            if not text.startswith(f"</{last['name']}", close):
                 continue
-            parts, at = {(at, close): True}, close
+            value = _Value()
+            value.own[at, close] = True
+            at = close
         else:
-            parts, at = _value(text, at, known)
+            value, at = _value(text, at, known)
         for name in names:
-            known[name] = parts
+            known[name] = value
         own, name = max((sensitivity(n), n) for n in names)
+        value.told = (own, -len(values), name)
+        values.append(value)
+    found = []
+    # A value is made of earlier ones, so the last comes first.
+    for value in reversed(values):
+        own, _, name = value.told
         if not own:
             continue
-        for span, quoted in parts.items():
-            if span not in strong:
-                strong[span] = strength(text[slice(*span)], quoted)
-            score = min(1.0, own + strong[span]) if strong[span] else 0.0
-            if score >= THRESHOLD and score > best.get(span, (0.0, ""))[0]:
-                best[span] = (score, name)
-    return [(s, e, "literal", name, score) for (s, e), (score, name) in best.items()]
+        for part in value.parts:
+            part.told = max(part.told, value.told)
+        for span, quoted in value.own.items():
+            strong = strength(text[slice(*span)], quoted)
+            score = min(1.0, own + strong) if strong else 0.0
+            if score >= THRESHOLD:
+                found.append((*span, "literal", name, score))
+    return found
 
 
 def scan(text: str | None) -> list[tuple[int, int, str, str | None, float | None]]:
@@ -175,9 +206,13 @@ def scan(text: str | None) -> list[tuple[int, int, str, str | None, float | None
     base = base_spans(text)
     found = [(s, e, k, None, None) for s, e, k in base]
     if "=" in text or ":" in text or "</" in text:
-        found += [
-            x for x in literal_spans(text) if not any(s <= x[0] and x[1] <= e for s, e, _ in base)
-        ]
+        # The furthest end of the base spans up to each start.
+        starts = sorted((s, e) for s, e, _ in base)
+        reach = list(accumulate((e for _, e in starts), max))
+        for literal in literal_spans(text):
+            before = bisect_right(starts, (literal[0], len(text)))
+            if not before or reach[before - 1] < literal[1]:
+                found.append(literal)
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

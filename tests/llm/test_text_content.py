@@ -133,6 +133,65 @@ def test_machine_learns_a_combination():
     assert max(machine.score(r) for r in ([0], [1], [2], [0, 2], [1, 2], [])) < 0.2
 
 
+def test_words_that_are_harmless_alone_enter_as_a_pair(spark):
+    """alpha and omega have the average share of toxic texts each, and all texts with both are toxic."""
+    fill = lambda i: f"some words {i % 17} about thing{i % 7} and more"
+    rows = []
+    for i in range(1000):
+        if i < 60:
+            rows.append((i, f"{fill(i)} alpha omega {fill(i + 1)}", 1))
+        elif i < 340:
+            rows.append((i, f"{'alpha' if i < 200 else 'omega'} {fill(i)}", 0))
+        else:
+            rows.append((i, fill(i) + (" zeta" if i < 580 else ""), int(i < 580)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels)
+    alpha, omega, zeta = (toxicity.zlib.crc32(f"={w}".encode()) % toxicity.DIMS for w in ("alpha", "omega", "zeta"))
+    assert {alpha, omega, zeta} <= set(machine.places)
+    look = toxicity.Lookup(machine.places)
+    value = lambda text: machine.score(look(text))
+    assert min(value("x alpha omega y"), value("zeta")) > 0.8
+    assert max(value("alpha x"), value("x omega"), value("neither")) < 0.3
+    # Neither of them is strong by itself.
+    joined = docs.join(labels, "doc_id").selectExpr("doc_id AS _id", "text AS _text", "toxic AS _toxic")
+    assert not {alpha, omega} & set(toxicity.strong_terms(joined))
+
+
+def test_scores_equal_a_double_loop(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.fit(docs, labels)
+    assert len(machine.places) > 10
+
+    def plain(text):
+        import re
+
+        found = set()
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            found |= {f"={word}"} | {f"^{word[:n]}" for n in range(4, 9) if n <= len(word)}
+        at = sorted({machine.places[p] for t in found if (p := toxicity.zlib.crc32(t.encode()) % (1 << 20)) in machine.places})
+        x = machine.intercept + sum(machine.weights[i] for i in at)
+        for k, i in enumerate(at):
+            for j in at[k + 1 :]:
+                x += sum(a * b for a, b in zip(machine.vectors[i], machine.vectors[j]))
+        return 1 / (1 + 2.718281828459045 ** -max(-30, min(30, x)))
+
+    got = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    for row in docs.collect():
+        assert abs(got[row.doc_id] - plain(row.text)) < 1e-9
+
+
+def test_a_repeated_id_does_not_fill_the_driver(spark, monkeypatch):
+    """Rows of one id are drawn again by their text, and equal ones train once."""
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda places, rows, labels: seen.append(len(rows)))
+    docs = spark.range(3000).selectExpr("1L AS doc_id", "concat('text number ', id % 1500) AS text")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, sample=100)
+    assert 0 < seen[0] < 400
+
+
 def test_toxicity_of_hard_rows(docs, spark):
     labels = spark.createDataFrame(
         [(7, 1), (7, 0), (9, None), (None, 1), (15, 0), (99, 1)], "doc_id long, toxic int"
@@ -142,6 +201,7 @@ def test_toxicity_of_hard_rows(docs, spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(docs, none).collect()} == {0}
+    assert toxicity.toxicity(docs.limit(0), labels).collect() == []
 
 
 # Secrets
@@ -201,8 +261,61 @@ def test_secrets_of_long_hostile_texts_take_linear_time():
     assert time.process_time() - start < 20
 
 
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: 'x = x + "lit"\n' * n,
+        lambda n: "".join(f'password{i} = x{i % 9} + "k3y{i}abcdef"\nx{i % 9} = password{i}\n' for i in range(n)),
+        lambda n: "token=abcdef123456 " * n + 'seed = "Qk39fjalskdjf93"\npwd = seed\n' * n,
+        lambda n: "name> " * n + "<a>" * n,
+    ],
+)
+def test_twice_the_text_takes_about_twice_the_time(make):
+    import time
+
+    def seconds(text):
+        start = time.process_time()
+        secret_scan.scan(text)
+        return time.process_time() - start
+
+    short, long = make(8_000), make(16_000)
+    # The least of several runs; the constant covers very quick ones.
+    assert min(seconds(long) for _ in range(3)) <= 2.5 * min(seconds(short) for _ in range(3)) + 0.1
+
+
+def test_shared_values_reach_every_target():
+    text = 'a = "Qk39fjalskdjf93"\nb = a + "x9y8z7w6v5u4"\nauth_salt = b\nlogin_pwd = b\nmy_token = a\n'
+    found = {text[s:e]: (name, score) for s, e, k, name, score in secret_scan.scan(text)}
+    # my_token is the most sensitive target of the first, login_pwd of the second.
+    assert {v: name for v, (name, _) in found.items()} == {"Qk39fjalskdjf93": "my_token", "x9y8z7w6v5u4": "login_pwd"}
+    assert all(0.6 <= score <= 1 for _, score in found.values())
+
+
+def test_secrets_of_hard_rows(spark):
+    secret = 'api_key = "Qk39fjalskdjf93"'
+    rows = [(1, None), (None, secret), (2, ""), (2, secret), (2, secret), (3, "  ")]
+    schema = "doc_id long, text string, spans string, _text string, KIND int, _id int"
+    df = spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], schema)
+    got = secret_scan.find_secrets(df.repartition(3))
+    assert got.columns == ["doc_id", "spans"]
+    found = sorted((r.doc_id or 0, tuple((s.kind, s.start, s.end) for s in r.spans)) for r in got.collect())
+    spans = (("assign", 0, 26),)
+    assert found == [(0, spans), (1, ()), (2, ()), (2, spans), (2, spans), (3, ())]
+    assert secret_scan.find_secrets(df.limit(0)).collect() == []
+
+
 # Pages
 
+
+def test_unclosed_declarations_are_read_once():
+    import time
+
+    start = time.process_time()
+    for piece in ("<!", "<!--", "<![CDATA[", "<?"):
+        parse("<p>kept</p>" + piece * 200_000)
+    assert time.process_time() - start < 5
+
+
 PAGE = (
     "<html><body><header>Site</header><div id='nav'><a href=x>Home</a> <a href=y>About</a></div>"
     "<div class='cookie-notice'>We use cookies</div><div class=wrap><div class=left><h1>Title {0}</h1>"
