@@ -114,3 +114,30 @@ def taken_share(draw, chance):
 def test_no_frequent_items(spark, planted):
     assert fit_item_vectors(planted, EmbeddingParams(min_count=10**6)).count() == 0
     assert fit_item_vectors(planted.limit(0)).count() == 0
+
+
+def test_pairs_are_packed_once_in_the_order_of_their_draws(spark, monkeypatch):
+    monkeypatch.setattr(skipgram, "PACKED", 7)
+    rng = np.random.default_rng(2)
+    rows = [(int(r), int(s), int(c), int(x), 300 if x == 9 else 2, int(d)) for r, s, c, x, d in
+            zip(*(rng.integers(0, k, 200) for k in (2, 2, 10, 10)), rng.permutation(200))]
+    pairs = spark.createDataFrame(rows, "round int, shard int, centre int, context int, distance int, draw long")
+    packed = skipgram._in_order(skipgram.packed_pairs(pairs, 2)).orderBy("round", "shard", "first").collect()
+    got = []
+    for r in packed:
+        draw = np.frombuffer(r.draw, np.int64)
+        assert len(draw) <= 7
+        wide = np.int32 if len(r.distance) > len(draw) else np.uint8
+        got += [(r.round, r.shard, int(c), int(x), int(d), int(w)) for c, x, d, w in zip(
+            np.frombuffer(r.centre, np.int32), np.frombuffer(r.context, np.int32), np.frombuffer(r.distance, wide), draw)]
+    assert got == sorted(rows, key=lambda t: (t[0], t[1], t[5]))
+    assert len(packed) <= 4 * 2 + 200 // 7
+
+
+def test_rows_add_up_at_repeated_places():
+    rng = np.random.default_rng(4)
+    table, at, rows = np.zeros((9, 3), np.float32), rng.integers(0, 9, 50), rng.integers(-4, 5, (50, 3)).astype(np.float32)
+    want = table.copy()
+    np.add.at(want, at, rows)
+    skipgram._add(table, at, rows)
+    assert (table == want).all()
