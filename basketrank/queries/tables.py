@@ -11,7 +11,7 @@ from basketrank.models.popularity import PopularityModel
 from basketrank.operators import interactions as inter
 from basketrank.operators import profile, split
 from basketrank.operators.evaluate import truth_lists
-from basketrank.queries.common import Case, base, round_sql, rounded, sql, tidy
+from basketrank.queries.common import Case, base, round_sql, rounded, side_by_side, sql, tidy
 from basketrank.sources import sinks
 
 _TX = "customer_id, item_id, bill_id, quantity, price, discount, updated_date"
@@ -158,7 +158,7 @@ def _sketched_profile(spark, folder):
     rough = profile.profile_of_sketches(spark.read.parquet(path), {"customer_id": "customers", "item_id": "items"})
     exact = profile.table_profile(tx, distinct={"customer_id": "n_customers", "item_id": "n_items"}).drop("n_rows")
     close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.05 * F.col(b)
-    return rough.crossJoin(exact).select(  # one row each
+    return side_by_side(rough, exact).select(
         "n_rows", "date_min", "date_max", "n_customers", "n_items",
         (close("customers", "n_customers") & close("items", "n_items")).alias("close"),
     )
