@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from basketrank.functions.staging import new_path, stage
+from basketrank.functions.staging import new_path, parts_for, stage
 from basketrank.models.popularity import PopularityModel, popularity_ranking
 from basketrank.operators import evaluate as ev
 from basketrank.operators import matrix
@@ -43,7 +43,9 @@ def _rank(spark, folder):
 def _purchase_positions(case: Case) -> DataFrame:
     """Purchases in time order as lists with repeated items."""
     window = Window.partitionBy("customer_id").orderBy("updated_date", "item_id")
-    return case.train.select(
+    # In parts that follow the input: sorting and grouping hold no more per task when it grows.
+    lines = case.train.select("customer_id", "item_id", "updated_date")
+    return lines.repartition(parts_for(lines), "customer_id").select(
         "customer_id", "item_id", F.row_number().over(window).alias("pos")
     )
 

@@ -106,3 +106,14 @@ def test_customer_vectors_move_numbers_of_kinds(alike):
     assert rows(found) == want
     near = rows(embedding.vector_candidates(history, items, 4, 4, dims=3, limit_bytes=6000))
     assert near == rows(embedding.vector_candidates(history, items, 4, 4, dims=3))
+
+
+def test_purchase_lists_lie_in_parts_that_follow_the_input(spark, small, monkeypatch):
+    from basketrank.queries import ranking
+
+    before = rows(ranking.QUERIES["predictions_dedup"](spark, small))
+    monkeypatch.setattr(staging, "BYTES_PER_PART", 5000)
+    found = ranking.QUERIES["predictions_dedup"](spark, small)
+    parts = staging.parts_for(found)
+    assert parts > 16 and f", {parts})" in plan(found)
+    assert rows(found) == before
