@@ -86,7 +86,19 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a text."""
-    return np.unique(_shingle_hashes(word_hashes(text), words))
+    return _distinct(_shingle_hashes(word_hashes(text), words))
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; for the few hundred shingles of a text four times as fast as ``np.unique``."""
+    ordered = np.sort(values)
+    return ordered[_firsts(ordered)]
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    first = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return first
 
 
 def _shingle_hashes(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -119,7 +131,11 @@ def ordered_shingles(
     """
     hashes = word_hashes(text)
     plain = _shingle_hashes(hashes, words)
-    own, first = np.unique(plain, return_index=True)
+    order = np.argsort(plain)
+    ordered = plain[order]
+    kept = _firsts(ordered)
+    # Which of several equal shingles is looked at makes no difference.
+    own, first = ordered[kept], order[kept]
     flags = _holds(common, hashes)
     usual = np.ones(len(plain), bool)
     for i in range(min(words, len(hashes))):
@@ -143,12 +159,15 @@ class Frequent:
 
     def fold(self) -> None:
         new, times = np.unique(np.concatenate([*self.waiting, np.empty(0, np.uint64)]), return_counts=True)
-        all_, place = np.unique(np.concatenate([self.values, new]), return_inverse=True)
-        total = np.zeros(len(all_), np.int64)
-        np.add.at(total, place, np.concatenate([self.counts, times]))
+        known = _holds(self.values, new)
+        total = self.counts.copy()
+        total[np.searchsorted(self.values, new[known])] += times[known]
+        all_, total = np.concatenate([self.values, new[~known]]), np.concatenate([total, times[~known]])
         if len(all_) > self.size:
             kept = total > np.partition(total, len(all_) - self.size)[len(all_) - self.size]
             all_, total = all_[kept], total[kept]
+        order = np.argsort(all_)
+        all_, total = all_[order], total[order]
         self.values, self.counts, self.waiting, self.held = all_, total, [], 0
 
 
@@ -181,7 +200,7 @@ def document_classes(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarra
             sizes, classes = [], []
             for text in batch.column(1):
                 hashes = word_hashes(text.as_py())
-                own = np.unique(_shingle_hashes(hashes, words))
+                own = _distinct(_shingle_hashes(hashes, words))
                 sizes.append(len(own))
                 classes.append(class_of(own))
                 tokens.add(own)

@@ -1,0 +1,44 @@
+"""The passes over all texts of the n-gram join, against plain counting."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from basketrank.llm import ngram_join
+
+
+def test_shingles_of_a_text_are_sorted_once(monkeypatch):
+    text = "a b c d e f g " * 9
+    want = np.unique(ngram_join._shingle_hashes(ngram_join.word_hashes(text), 4))
+    common = np.unique(ngram_join.word_hashes("a b c d e"))
+
+    def slow(*args, **kwargs):
+        raise AssertionError("np.unique on one text")
+
+    monkeypatch.setattr(np, "unique", slow)
+    assert ngram_join.shingles(text, 4).tolist() == want.tolist()
+    own, ordered = ngram_join.ordered_shingles(text, 4, want[:1], common)
+    assert own.tolist() == want.tolist()
+    late = {*want[:1].tolist(), *ngram_join.shingles("a b c d", 4).tolist(), *ngram_join.shingles("b c d e", 4).tolist()}
+    assert ordered.tolist() == [x for x in want.tolist() if x not in late] + [x for x in want.tolist() if x in late]
+    for empty in (None, "", " \n"):
+        assert [len(x) for x in ngram_join.ordered_shingles(empty, 4, want, common)] == [0, 0]
+
+
+@pytest.mark.parametrize("size", [10, 10_000])
+def test_counters_of_a_task(size, monkeypatch):
+    rng = np.random.default_rng(5)
+    found, counts = ngram_join.Frequent(size), Counter()
+    for _ in range(30):
+        values = rng.geometric(0.02, 400).astype(np.uint64)
+        found.add(values)
+        counts.update(values.tolist())
+        found.fold()
+    assert found.values.tolist() == sorted(set(found.values.tolist())) and len(found.values) <= size
+    for value, n in zip(found.values.tolist(), found.counts.tolist()):
+        assert n <= counts[value]
+    if size > len(counts):
+        assert dict(zip(found.values.tolist(), found.counts.tolist())) == counts
