@@ -102,3 +102,14 @@ def test_scores_of_columns_follow_the_nodes(spark):
     assert "ArrowEvalPython" in plan(scored)
     got = [r["score"] for r in scored.orderBy("i").collect()]
     assert got == pytest.approx([1 / (1 + np.exp(-(0.625 + w))) for w in want])
+
+
+def test_vectors_of_different_lengths_are_refused():
+    import pyarrow as pa
+
+    from basketrank.functions.vectors import _lists_matrix
+
+    assert _lists_matrix(pa.array([[1.0, 2.0], [3.0, 4.0]])).tolist() == [[1.0, 2.0], [3.0, 4.0]]
+    for bad in ([[1.0, 2.0], None], [[1.0], [2.0, 3.0, 4.0]]):
+        with pytest.raises(ValueError):
+            _lists_matrix(pa.array(bad))
