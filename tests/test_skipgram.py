@@ -141,3 +141,28 @@ def test_rows_add_up_at_repeated_places():
     np.add.at(want, at, rows)
     skipgram._add(table, at, rows)
     assert (table == want).all()
+
+
+def test_tables_of_a_small_vocabulary_give_the_same_update(monkeypatch):
+    rng = np.random.default_rng(5)
+    centres, contexts = (rng.normal(size=(n, 8)).astype(np.float32) for n in (12, 9))
+    centre, context = rng.integers(0, 12, 60), rng.integers(0, 9, 60)
+    found = []
+    for cells in (0, 10**9):
+        monkeypatch.setattr(skipgram, "_CELLS_A_TARGET", cells)
+        bucket = skipgram.Bucket(centres.copy(), contexts.copy(), (np.ones(12), np.arange(1.0, 10)), 5, [1, 2])
+        bucket._update(centre, context, np.float32(0.05))
+        found.append((bucket.centres, bucket.contexts))
+    for a, b, old in zip(*found, (centres, contexts)):
+        assert np.abs(a - b).max() < 1e-5 < np.abs(a - old).max()
+
+
+def test_a_large_bucket_is_trained_in_pieces(spark, planted, monkeypatch):
+    p = EmbeddingParams(vector_size=16, epochs=45, window=3, shards=1)
+    monkeypatch.setattr(skipgram, "PIECE", 15_000)
+    assert skipgram.pieces_for(5600, 3, 1) == 3 and skipgram.pieces_for(5600, 3, 2) == skipgram.pieces_for(5600, 3, 1, 200) == 1
+    found = [{r.item_id: r.vec for r in fit_item_vectors(df, p).collect()} for df in (planted, planted.repartition(2))]
+    assert found[0] == found[1] and len(found[0]) == 49
+    near = close_items({n: v for n, v in found[0].items() if n != "all"})
+    hits = sum(x[:2] == n[:2] for n, others in near.items() for x in others[:5])
+    assert hits >= 0.9 * 48 * 5
