@@ -92,6 +92,23 @@ def test_two_stage_training(spark, out, trained):
     assert vectors.count() > 50 and len(vectors.first()["vec"]) == 8
 
 
+def test_training_on_all_pairs_of_all_customers(spark, tables, out, trained, monkeypatch):
+    from dataclasses import replace
+
+    from basketrank.operators.split import customers_of, take
+    from basketrank.queries import runs
+
+    settings = replace(SETTINGS, ranker=replace(runs._WHOLE.ranker, trees=1, max_depth=1))
+    fit, given = PairRanker.fit, []
+    monkeypatch.setattr(two_stage.PairRanker, "fit", lambda pairs, params: given.append(pairs) or fit(pairs, params))
+    two_stage.train(spark, tables, out, settings, skip_sources=True, evaluate_model=False)
+    (pairs,) = given
+    assert pairs.select("customer_id").distinct().count() == customers_of(take(tables.transactions, "updated_date")).count()
+    counts = {r["label"]: r["count"] for r in pairs.groupBy("label").count().collect()}
+    assert counts[0] > 25 * counts[1] or counts[0] + counts[1] > 60 * 21
+    two_stage.train(spark, tables, out, replace(SETTINGS), skip_sources=True, evaluate_model=False)
+
+
 def test_two_stage_training_again_without_sources(spark, tables, out, trained):
     again = two_stage.train(spark, tables, out, SETTINGS, skip_sources=True, held_out=True)
     assert again.first()["n_users_predicted"] > 0
